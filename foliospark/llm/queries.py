@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, samples, sentences
+from . import leakage, lookalikes, near_duplicates, samples, sentences
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(_table(spark, sf_dir, "chunks"))
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, content) of the clean text chunks."""
+    return sentences.clean_text(_table(spark, sf_dir, "chunks")).select("chunk_id", lookalikes.content_column().alias("content"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_duplicates.similar_pairs(_contents(spark, sf_dir), "chunk_id", "content", 0.6, 120)
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its class of copies and its number of links to other classes, at similarity 0.8."""
+    return near_duplicates.similar_groups(_contents(spark, sf_dir), "chunk_id", "content", 0.8, 120)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = sentences.clean_text(_table(spark, sf_dir, "chunks"))
     texts = [r["page_content"] for r in samples.bounded_sample(clean, "chunk_id", F.lit("all"), ["page_content"], 2048)]
@@ -35,7 +50,7 @@ def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
 
 
 def oracle_sql() -> dict[str, str]:
