@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.skew import split_hot
 
 WINDOW, HASHES, ROWS, BANDS = 20, 128, 3, 42
 LEAF = 192
@@ -195,41 +196,29 @@ def _shard_pairs(radius: int):
         if (a := starts[size == 2]).size:  # shards of two, all at once
             d = np.bitwise_count(s[a, 0] ^ s[a + 1, 0]).astype(np.int16) + np.bitwise_count(s[a, 1] ^ s[a + 1, 1])
             a = a[d <= radius]
-            yield _batch(pa, ids, asks, a, a + 1)
+            yield _batch(pa, ids, a, a + 1)
         for k in np.flatnonzero(size > 2).tolist():
             p, q = int(starts[k]), int(ends[k])
             part = s[p:q]
-            indexed = np.flatnonzero(~asks[p:q])
-            tree = BKTree(part, indexed)
-            for a, b in tree.within(part, np.arange(q - p), radius):
-                yield _batch(pa, ids, asks, p + a, p + b)
+            ask = asks[p:q]
+            tree = BKTree(part, np.flatnonzero(~ask))
+            for a, b in tree.within(part, np.flatnonzero(ask) if ask.any() else np.arange(q - p), radius):
+                yield _batch(pa, ids, p + a, p + b)
 
     return run
 
 
-def _batch(pa, ids, asks, a, b):
+def _batch(pa, ids, a, b):
     x, y = ids[a], ids[b]
-    keep = (x < y) | ((x > y) & asks[a])  # a query of another part meets the indexed text once
-    keep |= (x > y) & asks[b]
+    keep = x != y
     lo, hi = np.minimum(x, y)[keep], np.maximum(x, y)[keep]
     return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["id_a", "id_b"])
 
 
 def shard_rows(reps: DataFrame, hot: int = HOT_SHARD) -> DataFrame:
-    """(shard, id, s0, s1, asks).  A shard of more than *hot* texts is cut in parts: a text is indexed in one
-    part and visits the others as a query."""
-    rows = reps.select("id", "s0", "s1", F.explode("bands").alias("shard"))
-    cells = rows.groupBy(F.pmod("shard", F.lit(65536)).alias("cell")).count().where(F.col("count") > hot)
-    big = [r[0] for r in cells.select("cell").collect()]  # at most 65536 numbers
-    plain = rows.select("shard", "id", "s0", "s1", F.lit(False).alias("asks"))
-    if not big:
-        return plain
-    in_big = F.pmod("shard", F.lit(65536)).isin(big)
-    heavy = rows.where(in_big).groupBy("shard").count().where(F.col("count") > hot).select("shard", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
-    split = rows.join(heavy, "shard", "left")
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    home = F.pmod(F.xxhash64("id"), parts)
-    return split.withColumn("home", home).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.when(F.col("parts").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", "part")).alias("shard"), "id", "s0", "s1", (F.col("part") != F.col("home")).alias("asks"))
+    """(shard, id, s0, s1, asks): a row for each band; shards of more than *hot* texts are split by pairs of parts."""
+    rows = reps.select(F.explode("bands").alias("shard"), "id", "s0", "s1")
+    return split_hot(rows, "shard", "id", hot)
 
 
 def similar_classes(texts: DataFrame, id_col: str, text_col: str, similarity: float = 0.6, least: int = 120, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, near_duplicates, samples, sentences
+from . import leakage, lookalikes, near_duplicates, samples, sentences, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = vectors.similar_vector_pairs(_table(spark, sf_dir, "chunks"), "chunk_id", "embeddings", 5, 0.85)
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(_table(spark, sf_dir, "chunks"))
 
@@ -50,7 +55,7 @@ def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
 
 
 def oracle_sql() -> dict[str, str]:
