@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, near_duplicates, samples, sentences, vectors
+from . import leakage, lookalikes, near_duplicates, samples, sentences, splitting, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.clean_text(_table(spark, sf_dir, "chunks")).select("chunk_id", lookalikes.content_column().alias("content"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.piece_rows(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "settings"))
+    return pieces.select("chunk_id", "piece_start", "piece_end")
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces with the pages of their chunk."""
+    return splitting.piece_rows(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "settings"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = near_duplicates.similar_pairs(_contents(spark, sf_dir), "chunk_id", "content", 0.6, 120)
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -55,7 +65,7 @@ def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
 
 
 def oracle_sql() -> dict[str, str]:

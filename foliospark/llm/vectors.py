@@ -204,7 +204,9 @@ def _exact(dim: int):
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, int]:
     """(rows id, v), number of rows and the most common length."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null and size(v) > 0")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null and v is not null")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = rows.where(F.exists("v", lambda x: x != 0) & finite)
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows, lengths[1] if lengths else 0, lengths[0] if lengths else 0
 
