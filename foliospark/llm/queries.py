@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, near_duplicates, samples, sentences, splitting, vectors
+from . import languages, leakage, lookalikes, near_duplicates, samples, sentences, splitting, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,15 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.clean_text(_table(spark, sf_dir, "chunks")).select("chunk_id", lookalikes.content_column().alias("content"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_segments(spark, sf_dir).drop("confidence")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments with their confidence."""
+    return languages.language_segments(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "languages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.piece_rows(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "settings"))
     return pieces.select("chunk_id", "piece_start", "piece_end")
@@ -65,7 +74,7 @@ def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
 
 
 def oracle_sql() -> dict[str, str]:
