@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, near_duplicates, samples, sentences, splitting, vectors
+from . import languages, leakage, lookalikes, near_duplicates, samples, sentences, splitting, subjects, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,12 @@ def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.reparameterised(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_areas"), _table(spark, sf_dir, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
