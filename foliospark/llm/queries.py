@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, near_duplicates, samples, sentences, splitting, subjects, vectors
+from . import languages, leakage, lookalikes, near_duplicates, samples, scans, sentences, splitting, subjects, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,15 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.similar_groups(_contents(spark, sf_dir), "chunk_id", "content", 0.8, 120)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_repairs(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "toc"))
+
+
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned chunks as continuous paragraphs."""
+    return scans.scan_texts(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "toc"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = sentences.clean_text(_table(spark, sf_dir, "chunks"))
     texts = [r["page_content"] for r in samples.bounded_sample(clean, "chunk_id", F.lit("all"), ["page_content"], 2048)]
@@ -78,7 +87,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
