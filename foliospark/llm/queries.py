@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, near_duplicates, samples, scans, sentences, splitting, subjects, vectors
+from . import languages, leakage, lookalikes, near_duplicates, packing, samples, scans, sentences, splitting, subjects, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_containers(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "containers"))
+
+
+def p8_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the room that each container type leaves unused."""
+    per = p8_containers(spark, sf_dir).groupBy("container_type", "container_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("used"))
+    total = per.groupBy("container_type").agg(F.count("*").alias("n_containers"), F.sum("used").alias("used_tokens"), F.max("used").alias("fullest"))
+    both = total.join(_table(spark, sf_dir, "containers"), "container_type")
+    return both.select("container_type", "n_containers", "used_tokens", "fullest", (1 - F.col("used_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("unused_share"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -87,7 +99,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_containers": p8_containers, "p8_room": p8_room, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
