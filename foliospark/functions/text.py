@@ -220,7 +220,12 @@ def partial_ratio(a: str | None, b: str | None) -> float:
     return best
 
 
-@F.pandas_udf("double")
-def partial_ratio_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([partial_ratio(x, y) for x, y in zip(a, b)])
+def partial_ratio_udf(a: Column, b: Column) -> Column:
+    """partial_ratio of two columns, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([partial_ratio(p, q) for p, q in zip(x, y)])
+
+    return ratio(a, b)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +74,16 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chun
                 v = pc.list_flatten(col.filter(ok)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
                 rid = b.column(0).to_numpy(zero_copy_only=False)[at]
                 d = np.maximum(qq[:, None] - 2 * q @ v.T + (v * v).sum(axis=1)[None, :], 0)
-                m = min(k + 2, d.shape[1])  # two more than k, for the rounding of the product
-                best = np.argpartition(d, m - 1, axis=1)[:, :m]
-                exact = np.sqrt(((q[:, None, :] - v[best]) ** 2).sum(axis=2))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, m)), pa.array(rid[best].ravel()), pa.array(exact.ravel())], names=["query_id", "id", "distance"])
+                m = min(k, d.shape[1])
+                limit = np.partition(d, m - 1, axis=1)[:, m - 1]
+                near = d <= (limit + 1e-6 * (1 + limit))[:, None]  # with ties and the rounding of the product
+                iq, iv = np.nonzero(near)
+                exact = np.sqrt(((q[iq] - v[iv]) ** 2).sum(axis=1))
+                order = np.lexsort((rid[iv], exact, iq))
+                iq, iv, exact = iq[order], iv[order], exact[order]
+                first = np.flatnonzero(np.concatenate([[True], iq[1:] != iq[:-1]]))
+                keep = np.arange(len(iq)) - np.repeat(first, np.diff(np.append(first, len(iq)))) < m + 2
+                yield pa.RecordBatch.from_arrays([pa.array(qi[iq[keep]]), pa.array(rid[iv[keep]]), pa.array(exact[keep])], names=["query_id", "id", "distance"])
 
         part = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -110,8 +117,6 @@ class PartitionedIndex:
 
     def assign(self, rows: DataFrame, vec_col: str) -> DataFrame:
         """Adds the centroid of each row."""
-        import pandas as pd
-
         centres = self.centres
 
         @F.pandas_udf("int")
