@@ -14,14 +14,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_FILE = T.StructType.fromDDL("chunk_id STRING, page_content STRING, filename STRING, type STRING, source STRING, language STRING, subject STRING, class_level STRING, page_numbers ARRAY<INT>")
-CONVERTED = T.StructType.fromDDL(
+_TYPES = {"STRING": T.StringType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "INTS": T.ArrayType(T.IntegerType())}
+
+
+def _schema(text: str) -> T.StructType:
+    """A flat schema from "name TYPE, ..."; unlike DDL parsing it needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in text.split(","))])
+
+
+CHUNK_FILE = _schema("chunk_id STRING, page_content STRING, filename STRING, type STRING, source STRING, language STRING, subject STRING, class_level STRING, page_numbers INTS")
+BLOCKS = _schema("doc_id STRING, block_idx INT, label STRING, text STRING, page INT, font_size DOUBLE")
+WORDS = _schema("doc_id STRING, page INT, text STRING, top DOUBLE, bottom DOUBLE, x0 DOUBLE, x1 DOUBLE, size DOUBLE, fontname STRING")
+TOC = _schema("doc_id STRING, pos INT, title STRING, level INT")
+#: A converted document, for spark.read.schema.
+CONVERTED = (
     "texts ARRAY<STRUCT<self_ref: STRING, label: STRING, text: STRING, parent: STRUCT<`$ref`: STRING>, prov: ARRAY<STRUCT<page_no: INT>>>>, "
     "tables ARRAY<STRUCT<self_ref: STRING, html: STRING>>, pictures ARRAY<STRUCT<self_ref: STRING, children: ARRAY<STRUCT<`$ref`: STRING>>, image: STRUCT<uri: STRING>>>"
 )
-BLOCKS = T.StructType.fromDDL("doc_id STRING, block_idx INT, label STRING, text STRING, page INT, font_size DOUBLE")
-WORDS = T.StructType.fromDDL("doc_id STRING, page INT, text STRING, top DOUBLE, bottom DOUBLE, x0 DOUBLE, x1 DOUBLE, size DOUBLE, fontname STRING")
-TOC = T.StructType.fromDDL("doc_id STRING, pos INT, title STRING, level INT")
 
 
 def chunk_files(spark: SparkSession, path: str, name: str = "chunks.json") -> DataFrame:
