@@ -30,8 +30,9 @@ def new_files(rows: DataFrame, watermark: str = "1 day", time: str = "modificati
 
 def live_latency(metrics: DataFrame, lateness: str = "5 minutes", length: str = "5 minutes", slide: str = "5 seconds") -> DataFrame:
     """Windows of request durations over a stream; rows later than *lateness* are dropped, as are redeliveries."""
-    once = metrics.withWatermark("ts", lateness).dropDuplicates(["metric_id", "ts"])
-    return latency_windows(once, length, slide)
+    zoned = metrics.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time with zone
+    once = zoned.withWatermark("ts", lateness).dropDuplicates(["metric_id", "ts"])
+    return latency_windows(once, length, slide).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
