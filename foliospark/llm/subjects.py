@@ -73,7 +73,7 @@ class Subjects:
         self.source: dict[str, int] = {}
         self.address: dict[str, int] = {}
         self.trust = np.zeros(len(FUNCTIONS))
-        self.prior = np.zeros(len(areas) + 1)
+        self.prior = np.zeros(len(areas))
 
     def vote(self, words: list[str]) -> tuple[int, int]:
         """(lexicon, compound) votes; NONE for a sentence without area words, -2 for no vote."""
@@ -114,14 +114,15 @@ class Subjects:
         return out
 
     def sentence_area(self, votes: tuple[int, ...], cache: dict) -> int:
+        if votes[0] == NONE and votes[1] < 0:
+            return NONE  # without a word of any area a sentence treats none, whatever stands around it
         got = cache.get(votes)
         if got is None:
             s = self.prior.copy()
             for f, v in enumerate(votes):
-                if v >= -1:
-                    s[v] += self.trust[f]  # index -1 is the last class: none
-            got = int(s.argmax())
-            got = cache[votes] = NONE if got == len(self.areas) else got
+                if v >= 0:
+                    s[v] += self.trust[f]
+            got = cache[votes] = int(s.argmax())
         return got
 
     def document_areas(self, text: str, source: str | None, address: str | None, cache: dict) -> list[str]:
@@ -170,9 +171,11 @@ def _learn(model: Subjects, docs: list[tuple[list[list[str]], list[int]]], round
 
 
 def _latent(model: Subjects, votes: np.ndarray, rounds: int = 25) -> None:
-    """Trust of each function and the class prior, from votes alone (a class is an area or none)."""
-    k = len(model.areas) + 1
-    v = np.where(votes == -1, k - 1, votes)
+    """Trust of each function and the prior of the areas, from the votes alone, on sentences with area words."""
+    k = len(model.areas)
+    v = votes[(votes[:, 0] >= 0) | (votes[:, 1] >= 0)]
+    if not len(v):
+        return
     said = v >= 0
     acc = np.array([0.9, 0.9, 0.6, 0.4, 0.3])
     prior = np.full(k, 1 / k)
