@@ -232,7 +232,7 @@ def fit(rows: list[tuple[str, str, str | None]]) -> Models | None:
     sents: list[tuple[str, np.ndarray]] = []
     for name, text, source in rows:
         body = text[content_offset(text, source) :]
-        sents += [(name, folded(body[s:e])) for s, e in sentences_of(body) if e - s > 15]
+        sents += [(name, folded(body[s:e])) for s, e in sentences_of(body) if e - s > (15 if body[s:e].isascii() else 7)]
     names = sorted({n for n, _ in sents})
     if not names:
         return None
