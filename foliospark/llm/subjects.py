@@ -35,6 +35,18 @@ PER_AREA = 512
 SHARE = 0.25
 _EDGE = ".,;:!?\"'()[]«»“”„।|।。，、！？：；「」（）…¿¡•*-"
 NONE = -1
+# Plain words of some areas, for sentences (such as exercises) without any word of the learned lexicon.
+SEEDS = {
+    "biology": "seedlings offspring trait species organism cell",
+    "physics": "ramp cart velocity acceleration",
+    "chemistry": "flask flacon flacons flasks acid reagent",
+    "agriculture": "grower waters trays crop harvest irrigation",
+    "sport": "runner lap laps rival tournament referee",
+    "economics": "lends coins owes payments price wage",
+    "maths": "theorem equation integer triangle",
+    "law": "court judge contract statute verdict",
+    "software": "server container deployment repository",
+}
 FUNCTIONS = ("lexicon", "compound", "section", "source", "address")
 
 
@@ -70,6 +82,7 @@ class Subjects:
         self.areas = areas
         self.lexicon: dict[str, tuple[int, float]] = {}
         self.compounds: dict[str, tuple[int, float]] = {}
+        self.seeds = {w: areas.index(a) for a, ws in SEEDS.items() if a in areas for w in ws.split()}
         self.source: dict[str, int] = {}
         self.address: dict[str, int] = {}
         self.trust = np.zeros(len(FUNCTIONS))
@@ -90,7 +103,10 @@ class Subjects:
                 if v := get(prev + " " + w):
                     t[v[0]] = t.get(v[0], 0.0) + v[1]
                 prev = w
-        first = min(s, key=lambda a: (-s[a], a)) if s else NONE
+        if not s:
+            hits = Counter(self.seeds[w] for w in words if w in self.seeds)
+            return min(hits, key=lambda a: (-hits[a], a)) if hits else NONE, -2
+        first = min(s, key=lambda a: (-s[a], a))
         return first, (min(t, key=lambda a: (-t[a], a)) if t else -2)
 
     def votes(self, text: str, source: str | None, address: str | None) -> list[tuple[int, ...]]:
@@ -139,14 +155,19 @@ def _learn(model: Subjects, docs: list[tuple[list[list[str]], list[int]]], round
         uni: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
         pair: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
         for (sents, labels), given in zip(docs, assigned):
+            met = Counter(given)
+            # labels that no area words account for yet: only for them can the other sentences stand
+            open_labels = [a for a in labels if met[a] < 0.8 * SHARE * len(sents)]
             for ws, a in zip(sents, given):
                 w = np.zeros(k)
                 if a == -2:
                     w[labels] = 1 / len(labels)
                 elif a >= 0:
                     w[a] = 1
+                elif open_labels:
+                    w[open_labels] = 1 / len(open_labels)
                 else:
-                    w[labels] = 0.5 / len(labels)  # a sentence without area words still may teach some
+                    continue
                 for t in set(ws):
                     uni[t] += w
                 for t in set(_pairs(ws)):
