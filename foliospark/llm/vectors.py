@@ -31,7 +31,7 @@ from ..plans.skew import split_hot
 
 TABLES, PROBES, PER_CELL = 6, 3, 72
 LINES, THRESHOLD, WIDTH = 24, 16, 1.5
-HOT_CELL = 6_000
+HOT_CELL = 6_000  # a pair of parts stays below the 2^16 ranks of the counting arrays
 _EDGE = "a long, b long, cosine double"
 
 
@@ -113,22 +113,31 @@ def _directed(x, queries, members, k, least_cosine, lines, block):
     m = x[members]
     proj = m @ lines  # members x LINES
     order = np.argsort(proj, axis=0, kind="stable")
-    rank = np.empty(order.shape, np.int16)
-    np.put_along_axis(rank, order, np.arange(len(m), dtype=np.int16)[:, None], axis=0)
-    arrays = np.take_along_axis(proj, order, axis=0)
+    rank = np.empty(order.shape, np.uint16)
+    np.put_along_axis(rank, order, np.arange(len(m), dtype=np.uint16)[:, None], axis=0)
+    rank = np.ascontiguousarray(rank.T)
+    arrays = np.ascontiguousarray(np.take_along_axis(proj, order, axis=0).T)
     last = float(np.sqrt(max(0.0, 2 - 2 * least_cosine)))
     radii = [last / 3, last] if last > 0 else [1e-6]
-    for p in range(0, len(queries), block):
-        open_q = queries[p : p + block]
-        for r in radii:  # virtual rehashing: the same arrays, wider windows
+    crowded = len(members) > k + 2  # whether small radii can settle queries here; learned from the first block
+    size = min(64, block)
+    p = 0
+    while p < len(queries):
+        open_q = queries[p : p + size]
+        p, size = p + size, block
+        settled = 0
+        for r in radii if crowded else radii[-1:]:  # virtual rehashing: the same arrays, wider windows
             at = x[open_q] @ lines
             w = WIDTH * r
             count = np.zeros((len(open_q), len(m)), np.int8)
+            place, inside = np.empty(count.shape, np.uint16), np.empty(count.shape, bool)
             for j in range(lines.shape[1]):
-                lo = np.searchsorted(arrays[:, j], at[:, j] - w).astype(np.int16)
-                hi = np.searchsorted(arrays[:, j], at[:, j] + w, side="right").astype(np.int16)
-                rj = rank[:, j][None, :]
-                count += (rj >= lo[:, None]) & (rj < hi[:, None])
+                lo = np.searchsorted(arrays[j], at[:, j] - w)
+                hi = np.searchsorted(arrays[j], at[:, j] + w, side="right")
+                # rank in [lo, hi): the difference is taken modulo 2^16, so one comparison does
+                np.subtract(rank[j][None, :], lo.astype(np.uint16)[:, None], out=place)
+                np.less(place, (hi - lo).astype(np.uint16)[:, None], out=inside)
+                np.add(count, inside.view(np.int8), out=count)
             a, b = np.nonzero(count >= THRESHOLD)
             other = open_q[a] != members[b]
             a, b = a[other], b[other]
@@ -140,9 +149,11 @@ def _directed(x, queries, members, k, least_cosine, lines, block):
             take = done[a]
             if take.any():
                 yield _best(open_q, members, a[take], b[take], cos[take], k + 3)
+            settled += int(done.sum()) if r < last else 0
             open_q = open_q[~done]
             if not len(open_q):
                 break
+        crowded = crowded and settled > 0
 
 
 def _best(queries, members, a, b, cos, k):
