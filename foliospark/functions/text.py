@@ -229,3 +229,18 @@ def partial_ratio_udf(a: Column, b: Column) -> Column:
             yield pd.Series([partial_ratio(p, q) for p, q in zip(x, y)])
 
     return ratio(a, b)
+
+
+def first_match_udf(least: float):
+    """(text, titles) -> place, from 1, of the first title whose partial ratio with the text reaches *least*; 0 if none does."""
+
+    @F.pandas_udf("int")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, lists in batches:
+            out = []
+            for t, titles in zip(texts, lists):
+                have = [] if titles is None else titles
+                out.append(next((i for i, x in enumerate(have, 1) if partial_ratio(t, x) >= least), 0))
+            yield pd.Series(out, dtype="int32")
+
+    return place

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import heading_level, heading_text, partial_ratio_udf
+from ..functions.text import first_match_udf, heading_level, heading_text, partial_ratio_udf
 
 
 def routed_captions(captions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,12 +49,19 @@ def lines_of_words(words: DataFrame) -> DataFrame:
 
 
 def toc_matches(headers: DataFrame, toc: DataFrame, least: float = 80.0) -> DataFrame:
-    """Headers (doc_id, block_idx, text) with the level of the first title of their document's table of contents whose
-    fuzzy ratio reaches *least*; null without one.  The join is by document, so it never compares all pairs."""
-    pairs = headers.join(toc.where("title is not null").select("doc_id", "pos", "title", "level"), "doc_id")
-    close = pairs.where(partial_ratio_udf(F.col("text"), F.col("title")) >= least)
-    first = close.groupBy("doc_id", "block_idx").agg(F.min_by("level", "pos").alias("level"), F.min("pos").alias("toc_pos"))
-    return headers.join(first, ["doc_id", "block_idx"], "left")
+    """Headers (doc_id, block_idx, text) with the level and place of the first title of their document's table of
+    contents whose fuzzy ratio reaches *least*; null without one.
+
+    The titles of a document travel as one ordered array beside its headers, and a vectorized function stops at the
+    first match, so no pairs are made.
+    """
+    entry = F.struct(F.col("pos"), F.col("title"), F.col("level").alias("lvl"))
+    listed = toc.where("title is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_toc"))
+    with_toc = headers.join(listed, "doc_id", "left")
+    at = first_match_udf(least)(F.col("text"), F.transform("_toc", lambda e: e["title"]))
+    hit = with_toc.withColumn("_at", at)
+    got = F.when(F.col("_at") > 0, F.element_at("_toc", F.col("_at")))
+    return hit.withColumn("level", got["lvl"]).withColumn("toc_pos", got["pos"]).drop("_toc", "_at")
 
 
 def header_font_sizes(headers: DataFrame, lines: DataFrame, least: float = 80.0) -> DataFrame:

@@ -144,12 +144,13 @@ def rerank_topr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context of each file: its chunks in order of arrival, cut to what the prompt leaves."""
-    rows = index(spark, sf_dir, "page_content", "filename").where("page_content is not null")
-    packed = rows.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("load_seq", "page_content"))).alias("c"))
+    """The context of the question: the texts of its ten best chunks, cut to what the prompt leaves."""
+    best = sparse.top_k(_stable(sparse.bm25_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K)
+    rows = index(spark, sf_dir, "page_content").withColumnRenamed("chunk_id", "id").join(F.broadcast(best), "id").where("page_content is not null")
+    packed = rows.agg(F.array_sort(F.collect_list(F.struct("place", "page_content"))).alias("c"))  # at most K rows
     q = question(spark, sf_dir).select(count_tokens(F.col("question")).alias("qt"))
     text = hybrid.context(F.transform("c", lambda x: x["page_content"]), F.col("qt"), 400, 50)
-    return packed.crossJoin(F.broadcast(q)).select("filename", F.md5(text).alias("context_md5"), F.length(text).alias("n_chars"))
+    return packed.crossJoin(F.broadcast(q)).select(text.alias("context"), F.length(text).alias("n_chars"))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,9 +228,9 @@ QUERIES = {
     ),
     "context_budget": (
         context_budget,
-        f"""WITH {INDEX_SQL}, qt AS (SELECT len(regexp_split_to_array(trim(question, ' '), '\\s+')) AS n FROM ({QUESTION_SQL})),
-        c AS (SELECT filename, string_split(string_agg(page_content, chr(10) || chr(10) ORDER BY load_seq), ' ') AS t FROM idx WHERE page_content IS NOT NULL GROUP BY filename),
-        x AS (SELECT filename, array_to_string(t[1:(400 - 50 - n)], ' ') AS s FROM c, qt) SELECT filename, md5(s) AS context_md5, length(s)::INT AS n_chars FROM x""",
+        f"""WITH {INDEX_SQL}, {_BM25_SQL}, {_SPARSE_SQL.format(n=K)}, ql AS (SELECT len(regexp_split_to_array(trim(question, ' '), '\\s+')) AS n FROM ({QUESTION_SQL})),
+        c AS (SELECT string_split(string_agg(page_content, chr(10) || chr(10) ORDER BY place), ' ') AS t FROM sparse JOIN idx ON chunk_id = id WHERE page_content IS NOT NULL),
+        x AS (SELECT array_to_string(t[1:(400 - 50 - n)], ' ') AS s FROM c, ql) SELECT s AS context, length(s)::INT AS n_chars FROM x""",
     ),
     "prompts": (prompts, "SELECT item_id, 'Answer from the text.' || chr(10) || chr(10) || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer:' AS prompt FROM eval_items"),
     "term_df_idf": (
