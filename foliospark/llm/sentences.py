@@ -49,7 +49,9 @@ THAI_OTHER = frozenset(
     """เมื่อ ถ้า หาก ใน ตาม ตามรายงาน นักเรียน อาจารย์ ครู ผู้ คน การ ความ หลัง ก่อน ระหว่าง ตลอด ทุก นี้ นั้น
     ครับ ค่ะ นะ เลย แล้ว ไหม หรือไม่ จริง จริงหรือไม่ มี ไป มา อยู่ ทำ ทำให้ เปลี่ยน ช่วย ใช้ ได้ เดือน สัปดาห์ บทเรียน ตาราง""".split()
 )
-THAI_WORDS = THAI_OPEN_END | THAI_OTHER | CARRY_ON["thai"]
+# Thai words that begin or end like one of the words above.
+THAI_LONGER = frozenset("ของผสม ของเหลว ของแข็ง ของเล่น ของขวัญ กับดัก เพื่อน ต่อม ต่อเนื่อง ที่ดิน ที่นั่ง ที่อยู่ แต่งงาน ถึงแม้ ไม่ว่า ให้ความ ความน่าจะเป็น น่าจะเป็น ภายใน ข้างใน จำเป็น".split())
+THAI_WORDS = THAI_LONGER | THAI_OPEN_END | THAI_OTHER | CARRY_ON["thai"]
 HAN_WORDS = CARRY_ON["han"]
 
 INVISIBLE = "­​‌‍⁠﻿"
@@ -66,7 +68,7 @@ _THAI_GAP = re.compile(r"(?<=\S)[%s]*[^\S\n]+[%s]*(?=\S)" % (INVISIBLE, INVISIBL
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def lattice_words(text: str, words: frozenset[str], longest: int = 12) -> list[str]:
+def lattice_words(text: str, words: frozenset[str], longest: int = 16) -> list[str]:
     """Cheapest path through the word lattice of *text*: known words cost 1, an unknown character 1.6."""
     n = len(text)
     cost, back = [0.0] + [1e9] * n, [0] * (n + 1)
@@ -126,10 +128,10 @@ def _thai_breaks(line: str, words: frozenset[str]) -> list[int]:
         if not ta or b.isdigit() or a.isdigit() or b in "/|-)":
             continue
         if tb:
-            before = lattice_words(line[max(0, i - 14) : i].rsplit(" ", 1)[-1], words)
+            before = lattice_words(line[max(0, i - 20) : i].rsplit(" ", 1)[-1], words)
             if before and before[-1] in THAI_OPEN_END:
                 continue
-            behind = lattice_words(_SPACE.split(line[j : j + 14], maxsplit=1)[0], words)
+            behind = lattice_words(_SPACE.split(line[j : j + 20], maxsplit=1)[0], words)
             if behind and behind[0] in CARRY_ON["thai"]:
                 continue
             out.append(i)
