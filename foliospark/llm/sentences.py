@@ -62,6 +62,7 @@ _TERM = re.compile(
 _OPENERS = "\"'«“„(「『[¿¡（" + INVISIBLE
 _PAIRS = {"«": "»", "„": "“”", "“": "”", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）"}
 _OPEN = re.compile(r"[«„“(\[「『（\"]")
+_JOINED = re.compile(r"[.!?\"”»)]")
 _SPACE = re.compile(r"\s+")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_GAP = re.compile(r"(?<=\S)[%s]*[^\S\n]+[%s]*(?=\S)" % (INVISIBLE, INVISIBLE))
@@ -186,8 +187,8 @@ def _ends(line: str, words: frozenset[str], has_thai: bool) -> list[int]:
             if not tok.isascii():
                 tok = plain(tok)
             low = tok.lower()
-            if low in NEVER_FINAL:
-                continue
+            if low in NEVER_FINAL or (len(last := _JOINED.split(low)[-1]) > 1 and last in NEVER_FINAL):
+                continue  # also where the sentence before is joined without a space
             if len(tok) == 1 and tok.isalpha() and script != "dev":
                 before = line[: i - 1].rstrip()
                 number = before[-1:].isdigit() or before[-1:] == "°"
@@ -197,7 +198,7 @@ def _ends(line: str, words: frozenset[str], has_thai: bool) -> list[int]:
                     continue
             if "." in low and low.rsplit(".", 1)[-1] in ("g", "e", "h", "b") and len(low) < 5 and not low[0].isdigit():
                 continue
-            if tok.isdigit() and len(tok) <= 2 and script == "latin" and re.match(r"\w+", line[k:]).group() in MONTHS:
+            if tok.isdigit() and len(tok) <= 2 and script == "latin" and re.match(r"\w+", plain(line[k : k + 12])).group() in MONTHS:
                 continue
             if k == j and (tok.isdigit() or low != tok):
                 continue  # 3.5, Node.Js
