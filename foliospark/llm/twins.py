@@ -11,6 +11,12 @@ p AS (SELECT a.id AS a, b.id AS b, array_cosine_similarity(a.v, b.v) AS c FROM g
 r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM p)
 SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE n <= 5 AND c >= 0.85"""
 
+P1_NEAREST = """WITH u AS (SELECT DISTINCT ON (chunk_id) chunk_id AS id, embeddings::DOUBLE[64] AS v FROM chunks WHERE embeddings IS NOT NULL AND len(embeddings) = 64),
+g AS (SELECT id, v FROM u WHERE array_inner_product(v, v) > 0),
+p AS (SELECT a.id AS query_id, b.id AS neighbour, least(1, array_inner_product(a.v, b.v) / (sqrt(array_inner_product(a.v, a.v)) * sqrt(array_inner_product(b.v, b.v)))) AS c FROM g a JOIN g b ON a.id <> b.id WHERE a.id % 100 = 0),
+r AS (SELECT query_id, neighbour, c, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, neighbour) AS place FROM p)
+SELECT query_id, neighbour, round(c, 6) AS cosine, place FROM r WHERE place <= 5"""
+
 P5_FOUND = f"""WITH {_CLEAN}, t AS (SELECT chunk_id, lower(regexp_replace(content, '[ \\t\\n\\r]', '', 'g')) AS t FROM clean),
 l AS (SELECT chunk_id, t FROM t WHERE length(t) >= 120),
 w AS (SELECT DISTINCT chunk_id, substr(t, i::INT, 20) AS w FROM (SELECT chunk_id, t, unnest(range(1, length(t) - 18)) AS i FROM l)),

@@ -264,3 +264,62 @@ def similar_vector_pairs(vectors: DataFrame, id_col: str, vec_col: str, k: int =
     """Columns id_a < id_b: pairs in which one is among the k most similar of the other."""
     near = similar_vectors(vectors, id_col, vec_col, k, least_cosine)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).dropDuplicates(["id_a", "id_b"])
+
+
+QUERY_BLOCK = 2048
+
+
+def nearest_of_queries(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 5) -> DataFrame:
+    """Columns query_id, neighbour, cosine, place: the *k* most similar rows of a stated set of queries, at any cosine.
+
+    Below a cosine of about 0.6 the windows of single lines hold nearly all vectors, so counting tells nothing; here
+    blocks of queries meet all rows by matrix products, exactly.  A block of at most about QUERY_BLOCK queries is
+    broadcast, and every batch of rows passes on its k best for each query only.
+    """
+    spark = vectors.sparkSession
+    rows, n, dim = _usable(vectors, id_col, vec_col)
+    schema = "query_id long, neighbour long, cosine double"
+    asked, total, _ = _usable(queries, id_col, vec_col)
+    if not n or not total:
+        return spark.createDataFrame([], schema + ", place int")
+    parts = -(-total // QUERY_BLOCK)
+    out = None
+    for p in range(parts):
+        got = asked.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == p)).dropDuplicates(["id"]).collect()
+        if not got:
+            continue
+        got.sort(key=lambda r: r["id"])
+        q = np.array([r["v"] for r in got], np.float64)
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in got], np.int64), q / np.sqrt((q * q).sum(axis=1, keepdims=True))))
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            qid, q = shared.value
+            for b in batches:
+                at, v = _matrix(b.column(1), dim)
+                if not len(at):
+                    continue
+                rid = b.column(0).to_numpy(zero_copy_only=False)[at]
+                keep = np.sort(np.unique(rid, return_index=True)[1])  # redelivered rows once
+                rid, v = rid[keep], v[keep]
+                s = np.minimum(q @ v.T, 1.0)
+                s[qid[:, None] == rid[None, :]] = -2.0
+                m = min(k, s.shape[1])
+                least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+                a, c = np.nonzero((s >= (least - 1e-9)[:, None]) & (s > -2.0))
+                order = np.lexsort((rid[c], -s[a, c], a))
+                a, c = a[order], c[order]
+                if not len(a):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                best = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < m
+                a, c = a[best], c[best]
+                yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(rid[c]), pa.array(s[a, c])], names=["query_id", "neighbour", "cosine"])
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], schema + ", place int")
+    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour")
+    return out.dropDuplicates(["query_id", "neighbour"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
