@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import render
+from ..functions.models import embed_udf
 from ..functions.text import count_tokens, language_tokens_udf, whitespace_tokens, word_tokens
 from ..operators import dense, hybrid, sparse
 from ..operators.selection import exact_filter, loose_filter
@@ -143,6 +144,21 @@ def rerank_topr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("id").alias("chunk_id"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
+def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search with the stand-in models: embed, dense and sparse top ten, fuse, rerank to three, cut by score."""
+    embed = embed_udf()
+    rows = index(spark, sf_dir, "page_content").where("page_content is not null")
+    vectors = rows.select("chunk_id", embed(F.col("page_content")).alias("embeddings"))
+    q = question(spark, sf_dir)
+    near = dense.top_k(vectors, q.select(embed(F.col("question")).alias("q")), K)
+    near = near.select(F.col("chunk_id").alias("id"), F.row_number().over(Window.orderBy("distance", "chunk_id")).alias("place"))
+    words = sparse.top_k(_stable(sparse.bm25_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K).select("id", "place")
+    found = hybrid.fused(near, words, K).drop("place")
+    texts = rows.select(F.col("chunk_id").alias("id"), "page_content").join(F.broadcast(found), "id").crossJoin(F.broadcast(q))
+    top = hybrid.cut_below(hybrid.reranked(texts, F.col("question"), "page_content", 3), "rerank_score", 0.05)
+    return top.select(F.col("id").alias("chunk_id"), F.round("rrf_score", 6).alias("rrf_score"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of the question: the texts of its ten best chunks, cut to what the prompt leaves."""
     best = sparse.top_k(_stable(sparse.bm25_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K)
@@ -226,6 +242,7 @@ QUERIES = {
         f"""WITH {INDEX_SQL}, {_BM25_SQL}, {_SPARSE_SQL.format(n=K)}, w AS (SELECT list_distinct(regexp_split_to_array(lower(question), '\\s+')) AS qw FROM ({QUESTION_SQL}))
         SELECT chunk_id, round(len(list_intersect(qw, regexp_split_to_array(lower(page_content), '\\s+'))) / len(qw)::DOUBLE, 6) AS rerank_score FROM sparse JOIN idx ON chunk_id = id, w ORDER BY rerank_score DESC, chunk_id LIMIT 3""",
     ),
+    "search_pipeline": (search_pipeline, None),
     "context_budget": (
         context_budget,
         f"""WITH {INDEX_SQL}, {_BM25_SQL}, {_SPARSE_SQL.format(n=K)}, ql AS (SELECT len(regexp_split_to_array(trim(question, ' '), '\\s+')) AS n FROM ({QUESTION_SQL})),
