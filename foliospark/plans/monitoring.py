@@ -64,7 +64,7 @@ def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     that of the batch."""
     live = flows.live_latency(_stream(spark, sf_dir, "usage_metrics"), "3650 days", "5 minutes", "5 minutes")
     path = _scratch(spark)
-    return flows.run_to_memory(live, f"latency_{uuid.uuid4().hex}", path, "complete")
+    return flows.run_to_table(live, f"{path}/windows", f"{path}/state")
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

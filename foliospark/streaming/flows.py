@@ -35,11 +35,15 @@ def live_latency(metrics: DataFrame, lateness: str = "5 minutes", length: str =
     return latency_windows(once, length, slide).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def run_to_memory(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns its result (for tests and small reports)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregating stream over all that is there; every batch replaces the table with the complete result."""
+
+    def batch(rows: DataFrame, _epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    q = df.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def provider_of(rows: DataFrame, providers: list[str], strategy: str = "round_robin", order: str = "chunk_id") -> DataFrame:
