@@ -23,7 +23,8 @@ def bounded_sample(df: DataFrame, id_col: str, group, columns: list[str], per_gr
     spark = df.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(x,) for x in sorted(set(least))], "_h long"))
     seen, out = set(), []
-    for r in sorted(keyed.join(chosen, "_h", "left_semi").select("_id", "_g", *["_c_" + c for c in columns]).collect(), key=lambda r: (str(r[1]), r[0])):
+    rows = keyed.join(chosen, "_h", "left_semi").dropDuplicates(["_id", "_g"])  # an id may be repeated any number of times
+    for r in sorted(rows.select("_id", "_g", *["_c_" + c for c in columns]).collect(), key=lambda r: (str(r[1]), r[0])):
         if r[0] not in seen:
             seen.add(r[0])
             out.append(Row(group=r[1], **{c: r["_c_" + c] for c in columns}))

@@ -251,9 +251,9 @@ def document_subjects(docs: DataFrame, areas: DataFrame, labels: DataFrame, per_
         return spark.createDataFrame([], "doc_id long, subject_area string")
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most per_area x areas ids
     of: dict[int, list[str]] = defaultdict(list)
-    for r in known.join(chosen, "doc_id", "left_semi").collect():
+    for r in known.join(chosen, "doc_id", "left_semi").distinct().collect():
         of[r[0]].append(r[1])
-    rows = docs.select("doc_id", "text", "source", "collection").join(chosen, "doc_id", "left_semi").where("text is not null").collect()
+    rows = docs.select("doc_id", "text", "source", "collection").join(chosen, "doc_id", "left_semi").where("text is not null").dropDuplicates(["doc_id"]).collect()
     model = fit(names, [(r["text"], r["source"], r["collection"], of[r["doc_id"]]) for r in sorted(rows, key=lambda r: r["doc_id"])])
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
