@@ -225,6 +225,21 @@ def test_leaks_against_brute_force(spark):
     assert {d for d in range(80) if d % 4 == 3} <= other
 
 
+def test_every_template_of_a_document(spark, monkeypatch):
+    cart = "the cart of {} rolls {} metres down the long wet ramp behind the old mill of {} before noon"
+    vessel = "a vessel named {} carries {} barrels of salted fish past the white cliffs toward the harbour of {} each week"
+    tower = "when the tower bell in {} strikes {} times every single clerk inside the town hall of {} stands up"
+    name = lambda i: "xyz" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    forms = [cart, vessel, tower]
+    items = [(i, forms[i % 3].format(name(i), 100 + i, name(i + 30))) for i in range(30)]
+    docs = [(1, cart.format("qqa", 7, "qqb") + ". " + vessel.format("qqc", 8, "qqd")), (2, tower.format("qqe", 9, "qqf")), (3, ". ".join(f.format("qqg", 5, "qqh") for f in forms)), (4, "nothing of it")]
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string")
+    right = [(1, 0), (1, 1), (2, 2), (3, 0), (3, 1), (3, 2)]
+    assert sorted(map(tuple, leakage.reparameterised(dd, ii).collect())) == right
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 7)  # the same from blocks too small to tell template words
+    assert sorted(map(tuple, leakage.reparameterised(dd, ii).collect())) == right
+
+
 # --- scans ---
 
 
