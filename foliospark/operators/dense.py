@@ -42,7 +42,8 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chun
     """The *k* nearest rows (L2) for every query (query_id, q): columns query_id, id, distance, place.
 
     Queries are a stated set, taken in blocks of QUERY_BLOCK that are broadcast; every block is a scan of the rows in
-    which each batch keeps its k best by one matrix product, so at most k rows per query and batch are shuffled.
+    which each batch keeps its k best ids by one matrix product, so about k rows per query and batch are shuffled.
+    An id on several rows counts once, with the nearest of them.
     """
     spark = rows.sparkSession
     qs = queries.select(F.col(query_id).cast("long").alias("i"), "q").where("q is not null").dropDuplicates(["i"])
@@ -73,12 +74,21 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chun
                     continue
                 v = pc.list_flatten(col.filter(ok)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
                 rid = b.column(0).to_numpy(zero_copy_only=False)[at]
+                by_id = np.argsort(rid, kind="stable")
+                rid, v = rid[by_id], v[by_id]
                 d = np.maximum(qq[:, None] - 2 * q @ v.T + (v * v).sum(axis=1)[None, :], 0)
-                m = min(k, d.shape[1])
-                limit = np.partition(d, m - 1, axis=1)[:, m - 1]
+                starts = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]]))
+                of_id = d if len(starts) == len(rid) else np.minimum.reduceat(d, starts, axis=1)
+                m = min(k, of_id.shape[1])
+                limit = np.partition(of_id, m - 1, axis=1)[:, m - 1]
                 near = d <= (limit + 1e-6 * (1 + limit))[:, None]  # with ties and the rounding of the product
                 iq, iv = np.nonzero(near)
                 exact = np.sqrt(((q[iq] - v[iv]) ** 2).sum(axis=1))
+                if len(starts) < len(rid):  # repeated ids: the nearest row of each
+                    order = np.lexsort((exact, rid[iv], iq))
+                    iq, iv, exact = iq[order], iv[order], exact[order]
+                    once = np.concatenate([[True], (iq[1:] != iq[:-1]) | (rid[iv[1:]] != rid[iv[:-1]])])
+                    iq, iv, exact = iq[once], iv[once], exact[once]
                 order = np.lexsort((rid[iv], exact, iq))
                 iq, iv, exact = iq[order], iv[order], exact[order]
                 first = np.flatnonzero(np.concatenate([[True], iq[1:] != iq[:-1]]))
@@ -90,7 +100,7 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "chun
     if out is None:
         return spark.createDataFrame([], schema + ", place int")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return out.dropDuplicates(["query_id", "id"]).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return out.groupBy("query_id", "id").agg(F.min("distance").alias("distance")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
 class PartitionedIndex:

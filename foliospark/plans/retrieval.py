@@ -55,9 +55,9 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors whose id is divisible by 100, against all chunks."""
+    """All vectors whose id is divisible by 100, against the index."""
     queries = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = dense.batch_top_k(table(spark, sf_dir, "chunks"), queries, K)
+    near = dense.batch_top_k(index(spark, sf_dir, "embeddings"), queries, K)
     return near.select("query_id", F.col("id").alias("chunk_id"), F.round("distance", 6).alias("distance"), "place")
 
 

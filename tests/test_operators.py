@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import ids, models, render, text
 from foliospark.operators import chunking, dense, hybrid, selection, sparse, structure
+from foliospark.plans import retrieval
 from foliospark.plans.skew import split_hot
 from foliospark.sources import files, sinks
 
@@ -152,6 +153,21 @@ def test_partitioned_index_finds_near_vectors(spark):
     assert len(exact & found) >= 4
 
 
+def test_batch_top_k_of_repeated_ids(spark):
+    rows = [(1, [0.1, 0.0])] * 40 + [(2, [9.0, 9.0]), (2, [0.2, 0.0])] + [(i, [0.1 * i, 0.0]) for i in range(3, 30)] + [(99, None)]
+    df = spark.createDataFrame(rows, "chunk_id long, embeddings array<float>").coalesce(1)
+    near = dense.batch_top_k(df, spark.createDataFrame([(5, [0.0, 0.0])], "query_id long, q array<double>"), 4)
+    assert [(r["id"], round(r["distance"], 4)) for r in near.orderBy("place").collect()] == [(1, 0.1), (2, 0.2), (3, 0.3), (4, 0.4)]
+
+
+def test_batch_query_takes_the_last_delivery(spark, tmp_path):
+    chunks = [(1, n, [0.0, 0.1]) for n in range(30)] + [(2, 0, [0.0, 0.0]), (2, 1, [5.0, 5.0])] + [(i, 0, [0.0, 0.1 * i]) for i in range(3, 15)]
+    spark.createDataFrame(chunks, "chunk_id long, load_seq long, embeddings array<float>").coalesce(1).write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(0, [0.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = retrieval.dense_batch_topk(spark, str(tmp_path)).orderBy("place").collect()
+    assert [r["chunk_id"] for r in got] == [1, 3, 4, 5, 6, 7, 8, 9, 10, 11]
+
+
 def test_hot_groups_meet_once(spark):
     rows = spark.createDataFrame([(7 if i < 40 else i, i) for i in range(60)], "k long, id long")
     parts = split_hot(rows, "k", "id", 10).collect()
