@@ -8,7 +8,10 @@ which no lexicon has, can be read too).  A second averaged perceptron finds page
 shape of a line: page-number patterns, likeness to the book's headings, whether it breaks into a sentence, whether
 the next word would still have fitted on it, letter case and its final mark.
 
-Lexicon and weights come from a bounded sample of clean texts.  Headings of a book come from ``toc`` and from
+Words, letter cases, compounds and character grams are counted over all clean texts (and words over all scanned
+texts) in partial aggregates; a bounded sample of clean texts serves to train the weights only, with these counts.
+Of the counts those travel that scanned texts, the sample or their candidate readings ask for, as sorted hashes with
+one byte each (no count above ``MOST`` is told apart).  Headings of a book come from ``toc`` and from
 lines that occur with a page number on several of its chunks.
 
 Defined results for odd input: null and blank texts give no rows; a text without damage gives none;
@@ -21,15 +24,20 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter, defaultdict
+from hashlib import blake2b
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .samples import bounded_sample
 from .sentences import clean_text, content_offset
 
 PER_LABEL = 512
 PAGES = 1500
+MOST = 255
+LEAST_SCANNED = 3
 # Characters as misread and as printed.
 LATIN = [
     ("c", "e"), ("0", "o"), ("1", "l"), ("f", "t"), ("5", "s"), ("o", "a"), ("l", "i"), ("cl", "d"), ("rn", "m"), ("ii", "u"),
@@ -86,6 +94,54 @@ def _bucket(n: int) -> int:
     return 0 if n <= 0 else 1 if n == 1 else 2 if n < 5 else 3 if n < 20 else 4
 
 
+def _key(kind: str, text: str) -> int:
+    """Hash of a word (w), a lower-case word (l), a compound (c) or a character gram (g)."""
+    return int.from_bytes(blake2b((kind + text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _grams(low: str) -> list[str]:
+    p = f"^^{low}$$"
+    return [p[i : i + 3] for i in range(len(p) - 2)] + [p[i : i + 4] for i in range(len(p) - 3)]
+
+
+class Counts:
+    """Counts of one kind, read from sorted hashes."""
+
+    def __init__(self, kind: str, keys: np.ndarray, counts: np.ndarray):
+        self.kind, self.keys, self.counts, self._seen = kind, keys, counts, {}
+
+    def __getitem__(self, text: str) -> int:
+        n = self._seen.get(text)
+        if n is None:
+            if len(self._seen) > 200_000:
+                self._seen.clear()
+            h = _key(self.kind, text)
+            k = int(np.searchsorted(self.keys, h))
+            n = self._seen[text] = int(self.counts[k]) if k < len(self.keys) and self.keys[k] == h else 0
+        return n
+
+    def __contains__(self, text: str) -> bool:
+        return self[text] > 0
+
+    def __getstate__(self):
+        return {**self.__dict__, "_seen": {}}
+
+
+class Asked:
+    """Stands for counts and notes what is asked; it says 1, so that every candidate is looked at."""
+
+    def __init__(self, kind: str, noted: set[tuple[str, str]]):
+        self.kind, self.noted = kind, noted
+
+    def __getitem__(self, text: str) -> int:
+        self.noted.add((self.kind, text))
+        return 1
+
+    def __contains__(self, text: str) -> bool:
+        self.noted.add((self.kind, text))
+        return True
+
+
 class Editor:
     """Lexicon, character grams and the weights of both perceptrons."""
 
@@ -106,25 +162,25 @@ class Editor:
         self._add_scanned(scanned)
         self.grams: Counter = Counter()
         for w in low:
-            p = f"^^{w}$$"
-            self.grams.update(p[i : i + 3] for i in range(len(p) - 2))
-            self.grams.update(p[i : i + 4] for i in range(len(p) - 3))
+            self.grams.update(_grams(w))
         self.words = Perceptron()
         self.lines = Perceptron()
         self._seen: dict[str, str] = {}
 
-    def _add_scanned(self, texts: list[str], least: int = 3) -> None:
+    def counting(self, of) -> None:
+        """Takes other counts: of(kind) for each kind."""
+        self.lexicon, self.low, self.compounds, self.grams, self._seen = of("w"), of("l"), of("c"), of("g"), {}
+
+    def _add_scanned(self, texts: list[str], least: int = LEAST_SCANNED) -> None:
         """Words that stand in several scanned texts count too (inflected forms that no clean text has), unless a
         reading of them is far more common: a misreading can occur several times."""
         df: Counter = Counter()
         for t in texts:
-            df.update({p for tok in t.split() if tok[-1] not in _HYPHEN for p in _PART.split(tok.strip(EDGE)) if p})
+            df.update(_parts(t))
         for w, n in sorted(df.items()):
             if n < least or self.low[w.lower()] > 1 or any(c.isdigit() for c in w):
                 continue
-            table = DEVANAGARI if any("ऀ" <= c <= "ॿ" for c in w) else LATIN
-            others = (w[:i] + b + w[i + len(a) :] for a, b in table for i in range(1 - (a != ""), len(w)) if w.startswith(a, i))
-            if all(max(self.low[v.lower()], df[v]) < 8 * n for v in others if v != w):
+            if all(max(self.low[v.lower()], df[v]) < 8 * n for v in _others(w)):
                 self.lexicon[w] += n
                 self.low[w.lower()] += n
 
@@ -173,14 +229,20 @@ class Editor:
                 out.append((v, [f"op{a}>{b}", f"op{a}>{b}lex{min(x, 2)}", f"new{tag}lex{x}own{own}", f"new{tag}{was}>{now}lex{min(x, 2)}", f"new{tag}cap{w[:1].isupper()}lex{min(x, 2)}", f"new{mixed}shape{now}"]))
         return out
 
-    def train_words(self, texts: list[str], cases: int = 24_000, seed: int = 3) -> None:
+    def drawn(self, texts: list[str], cases: int = 24_000, seed: int = 3) -> list[tuple[str, str]]:
+        """(word as met, word as printed) of the training cases."""
         rng = random.Random(seed)
         tokens = [p for t in texts for tok in t.split() for p in _PART.split(tok.strip(EDGE)) if len(p) > 2 and not any(c.isdigit() for c in p)]
         rare = [w for w in tokens if self.low[w.lower()] < 20]
-        data = []
+        out = []
         for k in range(min(cases, 4 * len(tokens))):
             w = rng.choice(rare if rare and k % 2 else tokens)
-            noisy = damaged(w, rng) if k % 3 == 0 else w
+            out.append((damaged(w, rng) if k % 3 == 0 else w, w))
+        return out
+
+    def train_words(self, drawn: list[tuple[str, str]]) -> None:
+        data = []
+        for noisy, w in drawn:
             if noisy != w and self.known(noisy):
                 continue
             c = self.candidates(noisy, w)
@@ -231,6 +293,17 @@ class Editor:
         return "".join(out)
 
 
+def _parts(text: str) -> set[str]:
+    """Words of a scanned text, without those cut at a line end."""
+    return {p for tok in text.split() if tok[-1] not in _HYPHEN for p in _PART.split(tok.strip(EDGE)) if p}
+
+
+def _others(w: str) -> set[str]:
+    """Readings of w by the noise table."""
+    table = DEVANAGARI if any("ऀ" <= c <= "ॿ" for c in w) else LATIN
+    return {w[:i] + b + w[i + len(a) :] for a, b in table for i in range(1 - (a != ""), len(w)) if w.startswith(a, i)} - {w}
+
+
 def damaged(w: str, rng: random.Random) -> str:
     """A word with one misread character by the noise table."""
     table = DEVANAGARI if any("ऀ" <= c <= "ॿ" for c in w) else LATIN
@@ -315,7 +388,12 @@ def fit(rows: list[tuple[str, list[str]]], scanned: list[str] = ()) -> Editor:
     """An editor from (clean text, headings of its book) rows and scanned texts, of which only words are taken."""
     texts = [t for t, _ in rows]
     ed = Editor(texts, scanned)
-    ed.train_words(texts)
+    ed.train_words(ed.drawn(texts))
+    train_lines(ed, rows)
+    return ed
+
+
+def train_lines(ed: Editor, rows: list[tuple[str, list[str]]]) -> None:
     rng = random.Random(11)
     cases = []
     pages = (rows * (PAGES // max(1, len(rows)) + 1))[:PAGES]
@@ -327,7 +405,6 @@ def fit(rows: list[tuple[str, list[str]]], scanned: list[str] = ()) -> Editor:
                 f = line_features(lines, i, keys)
                 cases.append(([["no " + x for x in f], ["yes " + x for x in f]], int(m)))
     ed.lines.train(cases)
-    return ed
 
 
 def furniture(ed: Editor, lines: list[str], titles: list[str]) -> list[bool]:
@@ -413,20 +490,187 @@ def scan_texts(chunks: DataFrame, toc: DataFrame, per_label: int = PER_LABEL) ->
     return _scan(chunks, toc, per_label, True)
 
 
+def _word_rows(batches):
+    """Words and compounds of clean texts with their numbers (n), words of scanned texts with their texts (d)."""
+    import pyarrow as pa
+
+    seen: set[tuple] = set()
+    toks, df = Counter(), Counter()
+
+    def rows():
+        words: Counter = Counter()
+        compounds: set[str] = set()
+        for tok, n in toks.items():
+            tok = tok.strip(EDGE)
+            parts = _PART.split(tok)
+            for p in parts:
+                if p:
+                    words[p] += n
+            if "-" in tok and len(parts) > 1:
+                compounds.add(tok.lower())
+        both = list(words.keys() | df.keys())
+        comp = list(compounds)
+        arrays = [
+            pa.array(["w"] * len(both) + ["c"] * len(comp), pa.string()), pa.array(both + comp, pa.string()), pa.array([w.lower() for w in both] + comp, pa.string()),
+            pa.array([words[w] for w in both] + [1] * len(comp), pa.int64()), pa.array([df[w] for w in both] + [0] * len(comp), pa.int64()),
+        ]
+        toks.clear()
+        df.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=["kind", "word", "low", "n", "d"])
+
+    for b in batches:
+        for cid, text, source, scanned in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if (cid, scanned) in seen:  # redelivered rows once
+                continue
+            seen.add((cid, scanned))
+            if scanned:
+                df.update(_parts(text))
+            else:
+                toks.update(text[content_offset(text, source) :].split())
+        if len(toks) + len(df) > 300_000:
+            yield rows()
+    if toks or df:
+        yield rows()
+
+
+def _readings(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        got = [(w, v, v.lower(), 8 * n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for v in _others(w)]
+        cols = list(zip(*got)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["word", "v", "vlow", "least"])
+
+
+def _hashed(batches):
+    """Counts by hash; lower-case words give their grams too."""
+    import pyarrow as pa
+
+    out: Counter = Counter()
+    grams: Counter = Counter()
+
+    def rows():
+        for g, n in grams.items():
+            out[_key("g", g)] += n
+        got = pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["h", "n"])
+        out.clear()
+        grams.clear()
+        return got
+
+    for b in batches:
+        for kind, text, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+            out[_key(kind, text)] += n
+            if kind == "l":
+                grams.update(_grams(text))
+        if len(out) + len(grams) > 500_000:
+            yield rows()
+    if out or grams:
+        yield rows()
+
+
+def corpus_counts(chunks: DataFrame) -> DataFrame:
+    """Columns h, n: counts of all words, lower-case words, compounds and grams of the corpus, by hash."""
+    ocr = F.coalesce(F.col("ocr"), F.lit(False))
+    text = chunks.where(F.col("page_content").isNotNull() & (ocr | (F.col("type") == "text"))).select("chunk_id", "page_content", "source", ocr.alias("scanned"))
+    rows = text.repartition("chunk_id").mapInArrow(_word_rows, "kind string, word string, low string, n long, d long")
+    all_words = cut(rows.groupBy("kind", "word", "low").agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
+    words = all_words.where("kind = 'w'").drop("kind")
+    low = words.groupBy("low").agg(F.sum("n").alias("n")).where("n > 0")
+    # words of several scanned texts, unless a reading of them is far more common (as in Editor._add_scanned)
+    unsure = words.where((F.col("d") >= LEAST_SCANNED) & ~F.col("word").rlike("\\p{N}")).join(low.where("n > 1").select("low"), "low", "left_anti").select("word", "d", "low")
+    unsure = cut(unsure)
+    others = unsure.select("word", "d").mapInArrow(_readings, "word string, v string, vlow string, least long")
+    common = others.join(low.select(F.col("low").alias("vlow"), "n"), "vlow").where("n >= least").select("word")
+    common = common.unionByName(others.join(words.select(F.col("word").alias("v"), "d"), "v").where("d >= least").select("word")).distinct()
+    added = unsure.join(common, "word", "left_anti")
+    lexicon = words.where("n > 0").select(F.lit("w").alias("kind"), F.col("word").alias("text"), "n").unionByName(added.select(F.lit("w").alias("kind"), F.col("word").alias("text"), F.col("d").alias("n")))
+    low = low.unionByName(added.select("low", F.col("d").alias("n"))).groupBy("low").agg(F.sum("n").alias("n"))
+    every = lexicon.unionByName(low.select(F.lit("l").alias("kind"), F.col("low").alias("text"), "n")).unionByName(all_words.where("kind = 'c'").select("kind", F.col("word").alias("text"), "n"))
+    return every.mapInArrow(_hashed, "h long, n long").groupBy("h").agg(F.least(F.sum("n"), F.lit(MOST)).alias("n"))
+
+
+def _asked_for(editor: Editor, scans: DataFrame, drawn: list[tuple[str, str]]) -> DataFrame:
+    """Column h: hashes of all counts that reading the scanned texts and training on *drawn* may ask for."""
+    spark = scans.sparkSession
+    shared = spark.sparkContext.broadcast(editor)  # bounded by the sample
+
+    def words(batches):
+        import pyarrow as pa
+
+        ed = shared.value
+        noted: set[tuple[str, str]] = set()
+        lines = Editor([])
+        lines.lines = ed.lines
+        lines.reading = lambda w: noted.add(("r", w)) or w
+        lines.known = lambda w: noted.add(("k", w)) or True
+        lines.compounds = Asked("c", noted)
+        keys: dict[tuple, list[str]] = {}
+        for b in batches:
+            for text, heads in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not text or not text.strip():
+                    continue
+                t = tuple(heads or ())
+                if t not in keys:
+                    keys[t] = sorted({heading_key(x) for x in t})
+                repairs(lines, text, keys[t])
+            if len(noted) > 300_000:
+                yield pa.RecordBatch.from_pylist([{"kind": k, "text": w} for k, w in noted], schema=pa.schema([("kind", pa.string()), ("text", pa.string())]))
+                noted.clear()
+        yield pa.RecordBatch.from_pylist([{"kind": k, "text": w} for k, w in noted], schema=pa.schema([("kind", pa.string()), ("text", pa.string())]))
+
+    def keys_of(batches):
+        import pyarrow as pa
+
+        ed = shared.value
+        sure = Editor([])
+        sure.lexicon, sure.low = ed.lexicon, ed.low  # what the sample knows, the corpus knows
+        noted: set[tuple[str, str]] = set()
+        ask = Editor([])
+        ask.counting(lambda kind: Asked(kind, noted))
+        for b in batches:
+            for kind, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if kind == "c":
+                    noted.add((kind, w))
+                    continue
+                noted.update((("w", w), ("l", w.lower())))
+                if kind == "k" or kind == "r" and (len(w) < 2 or sure.known(w)):
+                    continue
+                for v, _ in ask.candidates(w)[1:]:
+                    if any(c.isdigit() for c in v):  # a second misread character
+                        ask.candidates(v)
+            yield pa.RecordBatch.from_arrays([pa.array([_key(k, t) for k, t in noted], pa.int64())], names=["h"])
+            noted.clear()
+
+    asked = scans.select("page_content", "titles").mapInArrow(words, "kind string, text string")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few words are much work
+    cases = spark.createDataFrame([("t", w) for w in sorted({w for w, _ in drawn})], "kind string, text string")
+    return asked.unionByName(cases).distinct().repartition(parts, "text").mapInArrow(keys_of, "h long").distinct()
+
+
 def _scan(chunks: DataFrame, toc: DataFrame, per_label: int, whole: bool) -> DataFrame:
     spark = chunks.sparkSession
     schema = "chunk_id long, text string" if whole else "chunk_id long, pos int, repaired string"
     clean = clean_text(chunks)
     sample = bounded_sample(clean, "chunk_id", _label_group(), ["page_content", "source", "filename"], per_label)
-    scanned = bounded_sample(chunks.where(F.col("ocr") & F.col("page_content").isNotNull()), "chunk_id", _label_group(), ["page_content"], per_label)
     names = sorted({r["filename"] for r in sample if r["filename"]})
     titles: dict[str, list[str]] = defaultdict(list)
     if names:
         chosen = F.broadcast(spark.createDataFrame([(n,) for n in names], "doc_id string"))  # bounded by the sample
         for r in toc.where("title is not null").join(chosen, "doc_id", "left_semi").orderBy("doc_id", "pos").collect():
             titles[r["doc_id"]].append(r["title"])
-    editor = fit([(r["page_content"][content_offset(r["page_content"], r["source"]) :], titles.get(r["filename"], [])) for r in sample], [r["page_content"] for r in scanned])
-    shared = spark.sparkContext.broadcast(editor)  # bounded by the sample
+    rows = [(r["page_content"][content_offset(r["page_content"], r["source"]) :], titles.get(r["filename"], [])) for r in sample]
+    scans = chunks.where(F.col("ocr") & F.col("page_content").isNotNull()).select("chunk_id", "page_content", "filename")
+    with_heads = cut(scans.join(_headings(scans, toc), "filename", "left").select("chunk_id", "page_content", "titles"))
+    editor = Editor([t for t, _ in rows])
+    train_lines(editor, rows)
+    drawn = editor.drawn([t for t, _ in rows])
+    counts = corpus_counts(chunks).join(_asked_for(editor, with_heads, drawn), "h", "left_semi").toArrow()
+    hashes, n = counts["h"].to_numpy(), counts["n"].to_numpy().astype(np.uint8)
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    editor.counting(lambda kind: Counts(kind, hashes, n))
+    editor.train_words(drawn)
+    shared = spark.sparkContext.broadcast(editor)  # nine bytes for every count that is asked for
 
     def run(batches):
         import pyarrow as pa
@@ -455,8 +699,6 @@ def _scan(chunks: DataFrame, toc: DataFrame, per_label: int, whole: bool) -> Dat
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(rep, pa.string())], names=["chunk_id", "pos", "repaired"])
 
-    scans = chunks.where(F.col("ocr") & F.col("page_content").isNotNull()).select("chunk_id", "page_content", "filename")
-    with_heads = scans.join(_headings(scans, toc), "filename", "left").select("chunk_id", "page_content", "titles")
     return with_heads.mapInArrow(run, schema).dropDuplicates(["chunk_id"] if whole else ["chunk_id", "pos"])
 
 

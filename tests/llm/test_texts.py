@@ -269,6 +269,25 @@ def test_scans_table(spark):
     assert scans.scan_repairs(df.limit(0), toc.limit(0)).count() == 0
 
 
+def test_scan_counts_cover_the_whole_corpus(spark):
+    rng = random.Random(12)
+    rows = [(i, "text", False, ". ".join(prose(rng, 9).capitalize() for _ in range(4)) + ".", "s", "f") for i in range(120)]
+    rows += [(200 + i, "text", False, "Behold quernstead quernstead lorimer-hall everywhere.", "s", "f") for i in range(2)] + [(200, "text", False, "Behold quernstead quernstead lorimer-hall everywhere.", "s", "f")] * 3
+    rows += [(300 + i, "text", True, "river zyglophane stone", "s", "f") for i in range(4)] + [(400, "text", True, "the quemstead of the river by the lorimer-\nhall stone garden window paper silver mountain.", "s", "f")]
+    df = spark.createDataFrame(rows, "chunk_id long, type string, ocr boolean, page_content string, source string, filename string")
+    toc = spark.createDataFrame([], "doc_id string, title string, pos int")
+    clean = {r[0]: r[3] for r in rows if not r[2]}
+    right = scans.Editor(list(clean.values()), [r[3] for r in rows if r[2]])
+    counts = {r["h"]: r["n"] for r in scans.corpus_counts(df).collect()}
+    for kind, table in (("w", right.lexicon), ("l", right.low), ("g", right.grams), ("c", dict.fromkeys(right.compounds, 1))):
+        assert {scans._key(kind, t): min(n, scans.MOST) for t, n in table.items() if n} == {h: counts.get(h) for h in (scans._key(kind, t) for t, n in table.items() if n)}
+    assert len(counts) == sum(len([1 for n in t.values() if n]) for t in (right.lexicon, right.low, right.grams)) + len(right.compounds)
+    sample = scans.bounded_sample(scans.clean_text(df), "chunk_id", scans._label_group(), ["page_content"], 8)
+    assert not any("quernstead" in r["page_content"] for r in sample)  # neither the word nor the compound
+    assert {r["chunk_id"]: r["text"] for r in scans.scan_texts(df, toc, 8).collect()}[400] == "the quernstead of the river by the lorimer-hall stone garden window paper silver mountain."
+    assert (400, 4, "quernstead") in {tuple(r) for r in scans.scan_repairs(df, toc, 8).collect()}
+
+
 # --- subjects ---
 
 TERMS = {"law": "court judge verdict tenant contract", "sport": "goal referee match league athlete", "physics": "lens magnet pendulum voltage photon"}
