@@ -45,12 +45,12 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = splitting.piece_rows(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "settings"))
+    pieces = splitting.piece_rows(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "settings"), 1)
     return pieces.select("chunk_id", "piece_start", "piece_end")
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces with the pages of their chunk."""
+    """The pieces with the pages of their chunk, overlapping as their collection is set."""
     return splitting.piece_rows(_table(spark, sf_dir, "chunks"), _table(spark, sf_dir, "settings"))
 
 

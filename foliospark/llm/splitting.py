@@ -69,8 +69,12 @@ class _Counter:
         return bisect_left(self.starts, e) - bisect_left(self.ends, s + 1)
 
 
-def pack(text: str, units: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of *text*, whose sentences are *units*."""
+def pack(text: str, units: list[tuple[int, int]], limit: int, overlap: int = 1) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of *text*, whose sentences are *units*.
+
+    A piece opens with the last *overlap* sentences of the one before (no more than that has), or as many of them as
+    fit together with its next sentence.
+    """
     if not units or limit < 1:
         return []
     tokens = _Counter(text)
@@ -84,8 +88,12 @@ def pack(text: str, units: list[tuple[int, int]], limit: int) -> list[tuple[int,
             pieces.append((state[0], state[1]))
             state[0] = state[1] = -1
 
-    def fits_after_repeat(k: int) -> bool:
-        return count(units[k - 1][0], units[k][1]) <= limit
+    def opening(k: int, first: int) -> int:
+        """Start of the piece whose first new sentence is the k-th; the piece before starts at *first*."""
+        at = k
+        while at > 0 and k - at < overlap and units[at - 1][0] >= first and count(units[at - 1][0], units[k][1]) <= limit:
+            at -= 1
+        return units[at][0]
 
     def add(node: list) -> None:
         s, e, children = node
@@ -98,18 +106,18 @@ def pack(text: str, units: list[tuple[int, int]], limit: int) -> list[tuple[int,
             for child in children:
                 add(child)
             return
-        open_piece = state[0] >= 0
+        first = state[0]
         flush()
         if count(s, e) > limit:  # a sentence that alone exceeds the limit
-            first = bisect_left(tokens.ends, s + 1)
+            begin = bisect_left(tokens.ends, s + 1)
             n = count(s, e)
             for k in range(0, n, limit):
-                a = s if k == 0 else tokens.starts[first + k]
-                b = e if k + limit >= n else tokens.ends[first + k + limit - 1]
+                a = s if k == 0 else tokens.starts[begin + k]
+                b = e if k + limit >= n else tokens.ends[begin + k + limit - 1]
                 pieces.append((a, b))
             return
         k = leaf_no[s]
-        state[0] = units[k - 1][0] if open_piece and fits_after_repeat(k) else s
+        state[0] = opening(k, first) if first >= 0 else s
         state[1] = e
 
     add(structure(text, units))
@@ -117,30 +125,31 @@ def pack(text: str, units: list[tuple[int, int]], limit: int) -> list[tuple[int,
     return pieces
 
 
-def piece_rows(chunks: DataFrame, settings: DataFrame) -> DataFrame:
+def piece_rows(chunks: DataFrame, settings: DataFrame, overlap: int | None = None) -> DataFrame:
     """Columns chunk_id, piece_start, piece_end, page_numbers, repeated: pieces of clean text chunks over the
-    limit of their collection; *repeated* tells whether a piece opens with the last sentence of the one before.
+    limit of their collection; *repeated* tells whether a piece opens with sentences of the one before.
 
-    One sentence is repeated, where ``overlap_sentences`` is 1 or more; with 0 or null none is.
+    ``overlap_sentences`` of the collection are repeated, none with 0 or null; with *overlap*, so many everywhere.
     """
     # settings is a configuration table with one row a collection
-    limits = settings.select("collection", F.col("emb_max_tokens").alias("limit")).where("limit > 0").dropDuplicates(["collection"])
+    again = F.coalesce(F.col("overlap_sentences").cast("int"), F.lit(0)) if overlap is None else F.lit(overlap)
+    limits = settings.select("collection", F.col("emb_max_tokens").alias("limit"), again.alias("again")).where("limit > 0").dropDuplicates(["collection"])
     rough = F.regexp_count("page_content", F.lit(JVM_TOKEN))
     over = clean_text(chunks).select("chunk_id", "page_content", "source", "page_numbers", "collection").join(limits, "collection").where(F.length("page_content") > F.col("limit"))
-    over = over.where(rough > F.col("limit")).select("chunk_id", "page_content", "source", "page_numbers", "limit")
+    over = over.where(rough > F.col("limit")).select("chunk_id", "page_content", "source", "page_numbers", "limit", "again")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             ids, starts, ends, pages, repeated = [], [], [], [], []
-            for cid, text, source, page, limit in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for cid, text, source, page, limit, again in zip(*(b.column(i).to_pylist() for i in range(6))):
                 off = content_offset(text, source)
                 body = text[off:]
                 if len(TOKEN.findall(body)) <= limit:
                     continue
                 last = -1
-                for s, e in pack(body, split_sentences(body), limit):
+                for s, e in pack(body, split_sentences(body), limit, again):
                     ids.append(cid)
                     starts.append(s + off)
                     ends.append(e + off)

@@ -127,6 +127,21 @@ def test_pieces_of_table(spark):
     assert splitting.piece_rows(df.limit(0), st).count() == 0
 
 
+def test_pieces_overlap_as_set(spark):
+    text = "Ax be. Cx de. Ex fe. Gx he. Ix je."  # sentences begin at 0, 7, 14, 21 and 28
+    sets = {"none": 0, "null": None, "one": 1, "two": 2, "many": 9}
+    df = spark.createDataFrame([(i, text, "", "text", False, "[]", c) for i, c in enumerate(sets)], "chunk_id long, page_content string, source string, type string, ocr boolean, page_numbers string, collection string")
+    st = spark.createDataFrame([(c, 6, n) for c, n in sets.items()], "collection string, emb_max_tokens int, overlap_sentences int")
+    got = {}
+    for r in splitting.piece_rows(df, st).orderBy("chunk_id", "piece_start").collect():
+        got.setdefault(list(sets)[r["chunk_id"]], []).append((r["piece_start"], r["piece_end"], r["repeated"]))
+    apart, one, two = [(0, 20, False), (21, 34, False)], [(0, 20, False), (14, 34, True)], [(0, 20, False), (7, 27, True), (14, 34, True)]
+    assert got == {"none": apart, "null": apart, "one": one, "two": two, "many": two}
+    fixed = splitting.piece_rows(df, st, 1).orderBy("chunk_id", "piece_start").collect()
+    assert [(r["piece_start"], r["piece_end"], r["repeated"]) for r in fixed] == one * 5
+    assert splitting.pack("Ax be. Cx de. A b c d e f g. Hx ie.", [(0, 6), (7, 13), (14, 28), (29, 35)], 4, 2) == [(0, 13), (14, 21), (22, 28), (29, 35)]
+
+
 # --- languages ---
 
 TEXTS = {
