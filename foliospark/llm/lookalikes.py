@@ -1,11 +1,9 @@
 """Texts that look the same but differ in their characters (problem 7).
 
-Every token is read by a *weighted edit automaton over a vocabulary trie*.  The trie holds the plain
-spellings seen in a bounded sample; on reading a token, look-alike characters and ignorable characters
-cost nothing, and any other edit costs more than the budget (0 by default, so that a different visible
-letter, digit, word or number of spaces stays different).  A token the trie knows gets the vocabulary's
-canonical spelling; any other is normalized by the table.  Both depend on the token's prototype only,
-so two tokens that look the same always end up the same, whatever the vocabulary.
+Every token is normalized by a table of look-alike and ignorable characters, and that alone decides.  A vocabulary
+trie with an edit automaton reads the normalized token, at a budget of 0 (so that a different visible letter, digit,
+word or number of spaces stays different): a word it finds is the normalized token itself, so the trie and the
+sampled vocabulary change no result.  Two tokens that look the same always end up the same, whatever the vocabulary.
 
 Defined results for odd input: null texts take no part; an empty text looks like any other empty or
 wholly invisible text; repeated rows of one id count once; equal texts are no pair (they do not differ);
@@ -149,5 +147,13 @@ def lookalike_pairs(texts: DataFrame, id_col: str, text_col: str, vocabulary: di
     keys = canonical_keys(texts, id_col, text_col, vocabulary).dropDuplicates(["id"])
     mixed = keys.groupBy("looks").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("looks")
     members = keys.join(mixed, "looks", "left_semi")
-    left, right = members.select("looks", F.col("raw").alias("raw_a"), F.col("id").alias("a")), members.select("looks", F.col("raw").alias("raw_b"), F.col("id").alias("b"))
-    return left.join(right, "looks").where("raw_a < raw_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    first, second = members.select("looks", F.col("raw").alias("raw_a"), F.col("id").alias("a")), members.select("looks", F.col("raw").alias("raw_b"), F.col("id").alias("b"))
+    both = class_pairs(members).join(first, ["looks", "raw_a"]).join(second, ["looks", "raw_b"])
+    return both.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+
+
+def class_pairs(members: DataFrame) -> DataFrame:
+    """Columns looks, raw_a < raw_b: pairs of classes of exact copies that look the same, however many members they have."""
+    classes = members.select("looks", "raw").distinct()
+    left, right = classes.select("looks", F.col("raw").alias("raw_a")), classes.select("looks", F.col("raw").alias("raw_b"))
+    return left.join(right, "looks").where("raw_a < raw_b")

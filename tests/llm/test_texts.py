@@ -209,6 +209,15 @@ def test_fill_containers(spark):
     assert packing.fill_containers(df.limit(0), c).count() == 0
 
 
+def test_lookalike_classes_meet_before_their_members(spark):
+    rows = [(i, "fee of a cat") for i in range(30)] + [(100 + i, "fee of a c\u0430t") for i in range(20)] + [(200, "f\u0435e of a cat"), (201, "dog"), (201, "dog")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert lookalikes.class_pairs(lookalikes.canonical_keys(df, "id", "text")).count() == 3
+    got = [tuple(r) for r in lookalikes.lookalike_pairs(df, "id", "text").collect()]
+    assert len(got) == len(set(got)) == 30 * 20 + 30 + 20
+    assert set(got) == {(a, b) for a, t in rows for b, u in rows if a < b and t != u and "dog" not in (t, u)}
+
+
 # --- leakage ---
 
 
