@@ -1,7 +1,7 @@
 """Text of scanned pages made continuous and readable (problem 6).
 
 An *averaged-perceptron character editor* reads every word that a lexicon does not know and chooses among
-keep, replace, delete, insert and line-join operations; its weights are trained on clean texts of the same
+keep, replace, delete and insert operations (lines are joined by a fixed rule, README); its weights are trained on clean texts of the same
 collection, damaged by a noise table.  Features are the operation, how often the word before and after the
 operation occurs in clean text, and how common the character triples and quadruples around it are (so names,
 which no lexicon has, can be read too).  A second averaged perceptron finds page furniture from the place and
