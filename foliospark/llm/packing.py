@@ -4,8 +4,8 @@ Documents are spread by a hash of their id over blocks of about ``BLOCK`` docume
 itself, so the work is parallel and no task holds more than a block's sizes.  In a block, *Karmarkar-Karp
 multiway differencing* starts with one partial partition per document and merges the two with the widest
 spread of sums, putting the largest sums of one together with the smallest of the other, until one partition
-with nearly equal windows is left.  While its largest window exceeds the capacity, the number of windows
-rises.  A document is split only if it alone exceeds the capacity: into full windows and a rest, which is
+with nearly equal windows is left.  With two or three documents a window some stay overfull by a few tokens: their
+documents, and those of as many emptiest windows, are parted anew by best fit.  A document is split only if it alone exceeds the capacity: into full windows and a rest, which is
 packed with the others.
 
 Sizes are tokens of a public tokenizer, whose file is a parameter.
@@ -18,12 +18,14 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+TASKS = 4096  # most tasks; a task takes several blocks beyond
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how that vocabulary parts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,16 +81,41 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
+def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Window of each size: the largest first, each into the fullest window that takes it."""
+    rooms: list[tuple[int, int]] = []  # (room, window), sorted
+    window = np.zeros(len(sizes), int)
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n = int(sizes[i])
+        at = bisect_left(rooms, (n, -1))
+        room, w = rooms.pop(at) if at < len(rooms) else (capacity, len(rooms))
+        window[i] = w
+        insort(rooms, (room - n, w))
+    return window
+
+
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each size (none above the capacity), windows numbered from 0 and never over the capacity."""
-    total = int(sizes.sum())
-    k = max(1, -(-total // capacity))
-    while True:
-        window = differencing(sizes, k)
-        most = int(np.bincount(window, weights=sizes, minlength=k).max()) if len(sizes) else 0
-        if most <= capacity:
-            return window
-        k += max(1, int(k * (most - capacity) / capacity / 2))
+    """Window of each size (none above the capacity), windows numbered from 0 and never over the capacity.
+
+    Differencing into the least number of windows that could do makes them nearly equal, some overfull by a few
+    tokens.  The documents of those and of as many emptiest windows are parted anew by best fit; the number of windows
+    rises only if that needs more.
+    """
+    if not len(sizes):
+        return np.zeros(0, int)
+    k = max(1, -(-int(sizes.sum()) // capacity))
+    window = differencing(sizes, k)
+    load = np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
+    by_load = np.argsort(load, kind="stable")
+    over = int((load > capacity).sum())
+    if not over:
+        return window
+    anew = by_load[: min(k - over, over)].tolist() + by_load[k - over :].tolist()
+    of = np.flatnonzero(np.isin(window, anew))
+    got = best_fit(sizes[of], capacity)
+    numbers = np.array(sorted(anew) + list(range(k, k + max(0, int(got.max()) + 1 - len(anew)))))
+    window[of] = numbers[got]
+    return np.unique(window, return_inverse=True)[1]
 
 
 def assignment(ids: np.ndarray, tokens: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -140,4 +167,6 @@ def fill_containers(docs: DataFrame, containers: DataFrame, path: str = TOKENIZE
         rows = [(kind, b * (1 << 24) + w, i, part, s, e) for kind, cap in kinds for w, i, part, s, e in assignment(ids, tokens, cap)]
         return pd.DataFrame(rows, columns=["container_type", "container_id", "doc_id", "part", "token_start", "token_end"])
 
-    return sizes.groupBy("block").applyInPandas(run, "container_type string, container_id long, doc_id long, part int, token_start int, token_end int")
+    # sizes are a few bytes but much work: a stated number of partitions, which adaptive execution does not fold into one
+    spread = sizes.repartition(max(1, min(blocks, TASKS)), "block")
+    return spread.groupBy("block").applyInPandas(run, "container_type string, container_id long, doc_id long, part int, token_start int, token_end int")
