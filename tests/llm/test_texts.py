@@ -264,6 +264,14 @@ def test_every_template_of_a_document(spark, monkeypatch):
     assert sorted(map(tuple, leakage.reparameterised(dd, ii).collect())) == right
 
 
+def test_placeholders_alone_are_no_template(spark):
+    rng = random.Random(4)
+    rare = lambda: "".join(rng.choice("bcdfghjklmnp") + rng.choice("aeiou") for _ in range(5))
+    ii = spark.createDataFrame([(i, " ".join(rare() for _ in range(14))) for i in range(200)], "item_id long, question string")
+    dd = spark.createDataFrame([(i, " ".join(rare() for _ in range(40))) for i in range(200)], "doc_id long, text string")
+    assert leakage.reparameterised(dd, ii).count() == 0
+
+
 # --- scans ---
 
 
