@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, leakage, lookalikes, near_duplicates, packing, samples, scans, sentences, splitting, subjects, twins, vectors
+from . import languages, leakage, lookalikes, near_duplicates, packing, scans, sentences, splitting, subjects, twins, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +74,7 @@ def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = sentences.clean_text(_table(spark, sf_dir, "chunks"))
-    texts = [r["page_content"] for r in samples.bounded_sample(clean, "chunk_id", F.lit("all"), ["page_content"], 2048)]
-    pairs = lookalikes.lookalike_pairs(clean.select("chunk_id", lookalikes.content_column().alias("content")), "chunk_id", "content", lookalikes.vocabulary_of(texts))
+    pairs = lookalikes.lookalike_pairs(_contents(spark, sf_dir), "chunk_id", "content")
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 

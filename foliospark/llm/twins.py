@@ -36,7 +36,7 @@ P9_TEMPLATES = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\
 q AS (SELECT * FROM (SELECT item_id, regexp_extract_all(lower(question), '[\p{L}\p{M}\p{N}]+') AS t FROM eval_items WHERE question IS NOT NULL) WHERE len(t) >= 10),
 common AS (SELECT w FROM (SELECT DISTINCT item_id, unnest(t) AS w FROM q) GROUP BY w HAVING count(*) >= greatest(3, 0.02 * (SELECT count(*) FROM q))),
 e AS (SELECT 0 AS side, doc_id AS id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS pos FROM d UNION ALL SELECT 1, item_id, unnest(t), unnest(range(1, len(t) + 1)) FROM q),
-c AS (SELECT side, id, pos, e.w, CASE WHEN regexp_matches(e.w, '\p{Nd}') THEN '<1>' WHEN list_contains(UNITS, e.w) THEN '<2>' WHEN common.w IS NOT NULL THEN e.w ELSE '<3>' END AS code FROM e LEFT JOIN common ON common.w = e.w),
+c AS (SELECT side, id, pos, e.w, CASE WHEN regexp_matches(e.w, '[\p{Nd}⁰¹²³⁴-⁹₀-₉]') THEN '<1>' WHEN list_contains(UNITS, e.w) THEN '<2>' WHEN common.w IS NOT NULL THEN e.w ELSE '<3>' END AS code FROM e LEFT JOIN common ON common.w = e.w),
 l AS (SELECT side, id, list(w ORDER BY pos) AS t, list(code ORDER BY pos) AS c FROM c GROUP BY side, id),
 v AS (SELECT side, id, array_to_string(c, ' ') AS form, t[i : i + 9] AS w, c[i : i + 9] AS k FROM (SELECT *, unnest(range(1, len(t) - 8)) AS i FROM l WHERE len(t) >= 10)),
 m AS (SELECT x.id AS doc_id, y.id AS item_id, y.form, x.w AS a, y.w AS b FROM v x JOIN v y ON x.side = 0 AND y.side = 1 AND x.k = y.k WHERE len(list_filter(y.k, lambda z: z[1] <> '<')) >= 4)

@@ -18,17 +18,32 @@ def prose(rng, n=60):
 
 
 def test_same_look():
-    s = lookalikes.Spellings({"paper": 3, "café": 2})
-    same = ["paper café", "рареr café", "pa​per café", "ｐａｐｅｒ café", "paper café", "paper­ café"]
-    assert len({s.canonical(t) for t in same}) == 1
+    same = ["paper café", "рареr café", "pa\u200bper café", "ｐａｐｅｒ café", "paper cafe\u0301", "paper\u00ad café"]
+    assert len({lookalikes.canonical(t) for t in same}) == 1
     for other in ("paper  café", "paper cafe", "Paper café", "papers café"):
-        assert s.canonical(other) != s.canonical(same[0])
-    assert s.canonical("") == "" and lookalikes.plain("⼀ﬁ①Å") == "一fi1Å"
-
-
-def test_trie_budget_reads_near_words():
-    near = lookalikes.Spellings({"café": 5}, budget=2)
-    assert near.spell("cafà") == "café"
+        assert lookalikes.canonical(other) != lookalikes.canonical(same[0])
+    assert lookalikes.canonical("") == "" and lookalikes.plain("⼀ﬁ①Å") == "一fi1Å"
+
+
+def test_automaton():
+    t = lookalikes.Trie({"language": 5, "Ianguage": 9, "index": 2, "lndex": 1, "fill": 2, "fell": 3, "2019": 4, "once": 1})
+    read = lambda w: t.read(lookalikes.pattern(w))
+    assert read("ӏаnguаge") == "Ianguage" and read("ӏndех") == "lndex"  # the palochka looks like both; the more frequent word
+    assert read("2О19") == "2019" and read("ӏike") is None
+    assert read("fжll") == "fell"  # an unlisted letter: the more frequent of fill and fell
+    assert read("onжe") is None  # met once only
+    assert lookalikes.pattern("café") is None and lookalikes.pattern("жжll") is None and lookalikes.pattern("Δt") is None
+    for w in ("ӏаnguаge", "2О19", "fжll", "lоnжer"):
+        p = lookalikes.pattern(w)
+        assert lookalikes.shard_of(p) in lookalikes.shards_of({"ӏаnguаge": "language", "2О19": "2019", "fжll": "fell", "lоnжer": "longer"}[w])
+
+
+def test_tries_decide(spark):
+    rows = [(1, "a language of stone, garden"), (2, "a Ӏanguage of stone, garden"), (3, "(in 2019) river"), (4, "(in 2О19) river"), (5, "the village market"), (6, "the viꓲlage market"), (7, "the vжllage market"), (8, "the village fair village")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("word", F.lit("x"))
+    by_table = {tuple(r) for r in lookalikes.lookalike_pairs(df, "id", "t", tries=False).collect()}
+    by_tries = {tuple(r) for r in lookalikes.lookalike_pairs(df, "id", "t").collect()}
+    assert by_table == set() and by_tries == {(1, 2), (3, 4), (5, 6), (5, 7), (6, 7)}
 
 
 def test_lookalike_pairs(spark):
