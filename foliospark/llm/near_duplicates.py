@@ -3,10 +3,12 @@
 1. Equal normalized texts form classes; one representative of each goes on.
 2. A representative gets 128 min-hashes of its windows of 20 characters.  One bit of each makes a
    128-bit sketch whose Hamming distance falls with the similarity.
-3. Bands of three min-hashes name the *shards* a text belongs to.  In each shard a *BK-tree* is built on
-   the sketches: children are keyed by their integer Hamming distance to the parent, and a query follows
-   only the edges within the radius.  Trees of a shard that holds very many texts are split: every part
-   indexes its share and all queries of the shard visit all parts.
+3. Bands of three min-hashes name the *shards* a text belongs to, and in its shards a text is compared with the
+   others by sketch.  A shard of more than ``LEAF`` texts is a *BK-tree* (children keyed by their integer Hamming
+   distance to the parent, only edges within the radius are followed); smaller ones are compared flat.  One tree over
+   all texts prunes nothing at the radius of these similarities (figures in the README), so the bands are
+   what keeps the work small.  Shards that hold very many texts are split: every part indexes its share and all queries
+   of the shard visit all parts.
 4. Pairs within the radius are verified by the exact similarity of their window sets.
 
 With three rows and 42 bands a pair of similarity 0.6 shares no shard with a chance of 4e-5.  For other
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from ..plans.skew import split_hot
+from ..plans.skew import partitions, split_hot
 
 WINDOW, HASHES, ROWS, BANDS = 20, 128, 3, 42
 LEAF = 192
 HOT_SHARD = 20_000
+TASK_ROWS = 500_000  # shard rows a task holds
+COPIES = 4096
 _DROP = {ord(c): None for c in " \t\n\r"}
 _B = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -215,10 +219,10 @@ def _batch(pa, ids, a, b):
     return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["id_a", "id_b"])
 
 
-def shard_rows(reps: DataFrame, hot: int = HOT_SHARD) -> DataFrame:
+def shard_rows(reps: DataFrame, n: int = 0, hot: int = HOT_SHARD) -> DataFrame:
     """(shard, id, s0, s1, asks): a row for each band; shards of more than *hot* texts are split by pairs of parts."""
     rows = reps.select(F.explode("bands").alias("shard"), "id", "s0", "s1")
-    return split_hot(rows, "shard", "id", hot)
+    return split_hot(rows, "shard", "id", hot, n)
 
 
 def similar_classes(texts: DataFrame, id_col: str, text_col: str, similarity: float = 0.6, least: int = 120, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +231,9 @@ def similar_classes(texts: DataFrame, id_col: str, text_col: str, similarity: fl
     sk = cut(class_sketches(texts, id_col, text_col, least, rows, bands).dropDuplicates(["id"]))
     members = sk.groupBy("same").agg(F.min("id").alias("class_id")).join(sk.select("id", "same"), "same").select("id", "class_id")
     reps = sk.join(members.where("id = class_id").select("id"), "id", "left_semi")
-    near = shard_rows(reps).repartition("shard").mapInArrow(_shard_pairs(radius_for(similarity)), "id_a long, id_b long").dropDuplicates(["id_a", "id_b"])
+    n = sk.count() * bands
+    parts = partitions(sk.sparkSession, n, TASK_ROWS)
+    near = shard_rows(reps, n).repartition(parts, "shard").mapInArrow(_shard_pairs(radius_for(similarity)), "id_a long, id_b long").dropDuplicates(["id_a", "id_b"])
     body = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t is not null").dropDuplicates(["id"])
     with_a = near.join(body.select(F.col("id").alias("id_a"), F.col("t").alias("ta")), "id_a")
     both = with_a.join(body.select(F.col("id").alias("id_b"), F.col("t").alias("tb")), "id_b").select("id_a", "id_b", "ta", "tb")
@@ -253,8 +259,11 @@ def similar_classes(texts: DataFrame, id_col: str, text_col: str, similarity: fl
 def similar_pairs(texts: DataFrame, id_col: str, text_col: str, similarity: float = 0.6, least: int = 120) -> DataFrame:
     """Columns id_a < id_b: all pairs of ids, copies expanded."""
     pairs, members = similar_classes(texts, id_col, text_col, similarity, least)
-    copies = members.join(members.groupBy("class_id").count().where("count > 1").select("class_id"), "class_id", "left_semi")
-    same = copies.select("class_id", F.col("id").alias("id_a")).join(copies.select("class_id", F.col("id").alias("id_b")), "class_id").where("id_a < id_b").select("id_a", "id_b")
+    # the result asked for has all pairs of copies; a class of very many is split by pairs of parts of COPIES rows
+    copies = members.join(members.groupBy("class_id").count().where("count > 1").select("class_id", F.ceil(F.col("count") / COPIES).cast("int").alias("n")), "class_id")
+    copies = copies.withColumn("home", F.pmod(F.xxhash64("id"), F.col("n"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    copies = copies.select("class_id", "id", "home", F.least("home", "part").alias("lo"), F.greatest("home", "part").alias("hi"))
+    same = copies.alias("x").join(copies.alias("y"), ["class_id", "lo", "hi"]).where("x.id < y.id and (lo = hi or x.home <> y.home)").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
     left, right = members.select(F.col("class_id").alias("id_a"), F.col("id").alias("a")), members.select(F.col("class_id").alias("id_b"), F.col("id").alias("b"))
     across = pairs.join(left, "id_a").join(right, "id_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
     return across.unionByName(same)

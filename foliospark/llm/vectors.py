@@ -9,10 +9,11 @@ stops for a query once it has k verified neighbours inside the current radius, a
 Windows of single lines hold a fixed share of all vectors, so counting over the whole collection is
 quadratic.  Vectors are therefore routed first: in each of ``TABLES`` tables a vector goes to its
 ``PROBES`` best cells of a product of two random direction codes, whose number of cells follows the number
-of vectors.  The arrays are kept per cell.  Measured recall for cosine >= 0.85 is above 0.99 at
-3e4 and 3e5 vectors (README).
+of vectors.  The arrays are kept per cell.  Measured recall: README.
 
-Vectors travel as 8-bit codes; the final cosines are taken from the vectors themselves.
+Vectors travel as 8-bit codes; the final cosines are taken from the vectors themselves.  All candidates that the codes'
+error lets be among the k most similar go on to that.  Where these are many (groups of very close vectors), the vectors
+themselves travel to the cells in question, and the k most similar are chosen there exactly.
 
 Defined results for odd input: null, all-zero, non-finite vectors and vectors of another than the most
 common length take no part; repeated rows of one id count once; equal vectors form classes, of which one
@@ -27,11 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from ..plans.skew import split_hot
+from ..plans.skew import partitions, split_hot
 
 TABLES, PROBES, PER_CELL = 6, 3, 72
 LINES, THRESHOLD, WIDTH = 24, 16, 1.5
 HOT_CELL = 6_000  # a pair of parts stays below the 2^16 ranks of the counting arrays
+TASK_ROWS = 250_000  # routed rows a task holds
+BASE_ERROR, ERROR = 1e-4, 0.006  # of a cosine by 8-bit codes: a part, and a part that falls with the distance
+PLACES = 16  # candidates of a query that are passed on; with more a query is crowded
+MARK = 2.0
 _EDGE = "a long, b long, cosine double"
 
 
@@ -148,7 +153,7 @@ def _directed(x, queries, members, k, least_cosine, lines, block):
             done = (found > k + 2) | (r == last)
             take = done[a]
             if take.any():
-                yield _best(open_q, members, a[take], b[take], cos[take], k + 3)
+                yield _in_reach(open_q, members, a[take], b[take], cos[take], k)
             settled += int(done.sum()) if r < last else 0
             open_q = open_q[~done]
             if not len(open_q):
@@ -156,13 +161,20 @@ def _directed(x, queries, members, k, least_cosine, lines, block):
         crowded = crowded and settled > 0
 
 
-def _best(queries, members, a, b, cos, k):
+def _in_reach(queries, members, a, b, cos, k):
+    """(queries, members, cosines, crowded) of the candidates that the codes' error lets be among the k most similar: the
+    k best by code, and all whose code cosine is below the k-th by no more than the error.  Queries with more
+    than ``PLACES`` of them are crowded: codes cannot tell these apart."""
     order = np.lexsort((b, -cos, a))
     a, b, cos = a[order], b[order], cos[order]
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-    keep = place < k
-    return queries[a[keep]], members[b[keep]], cos[keep]
+    size = np.diff(np.append(first, len(a)))
+    kth = cos[first + np.minimum(size, k) - 1]
+    reach = np.repeat(kth - BASE_ERROR - ERROR * np.sqrt(np.maximum(0, 2 - 2 * kth)), size)
+    keep = cos >= reach
+    n = np.add.reduceat(keep.astype(int), first)
+    crowded = np.repeat(n > PLACES, size)[keep]
+    return queries[a[keep]], members[b[keep]], cos[keep], crowded
 
 
 def _cell_search(dim: int, k: int, least_cosine: float):
@@ -186,9 +198,17 @@ def _cell_search(dim: int, k: int, least_cosine: float):
                 continue
             x = code[order[p:q]].astype(np.float32)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            for a, b, cos in collision_neighbours(x, asks[order[p:q]], k, least_cosine, lines):
+            many: list[np.ndarray] = []
+            for a, b, cos, crowded in collision_neighbours(x, asks[order[p:q]], k, least_cosine, lines):
+                if crowded.any():
+                    many.append(np.unique(np.concatenate([a[crowded], b[crowded]])))
+                    a, b, cos = a[~crowded], b[~crowded], cos[~crowded]
                 outs.append((ids[p + a], ids[p + b], cos.astype(np.float64)))
                 size += len(a)
+            if many:  # marked by the cosine 2: they meet again as they are
+                who = ids[p + np.unique(np.concatenate(many))]
+                outs.append((np.full(len(who), cell[p]), who, np.full(len(who), MARK)))
+                size += len(who)
             if size > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*outs)], names=["a", "b", "cosine"])
                 outs, size = [], 0
@@ -198,6 +218,37 @@ def _cell_search(dim: int, k: int, least_cosine: float):
     return run
 
 
+def _crowd_search(dim: int, k: int, least_cosine: float):
+    """The k most similar of each other among the marked rows (cell, id, vector) of every cell, by their vectors."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        got = [(b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows], v) for b in batches if b.num_rows for rows, v in [_matrix(b.column(2), dim)]]
+        if not got:
+            return
+        cell, ids, v = (np.concatenate(c) for c in zip(*got))
+        order = np.lexsort((ids, cell))
+        cell, ids, v = cell[order], ids[order], v[order]
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        for p, q in zip(starts.tolist(), np.append(starts[1:], len(cell)).tolist()):
+            x, who = v[p:q], ids[p:q]
+            m = min(k, len(who) - 1)
+            for i in range(0, len(who), 512) if m > 0 else ():
+                s = x[i : i + 512] @ x.T
+                s[np.arange(len(s)), np.arange(i, i + len(s))] = -2.0
+                kth = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+                a, b = np.nonzero((s >= np.maximum(kth, least_cosine)[:, None] - 1e-9) & (s > -2.0))
+                order = np.lexsort((b, -s[a, b], a))
+                a, b = a[order], b[order]
+                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, int)
+                best = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < m
+                a, b = a[best], b[best]
+                yield pa.RecordBatch.from_arrays([pa.array(who[i + a]), pa.array(who[b]), pa.array(s[a, b])], names=["a", "b", "cosine"])
+
+    return run
+
+
 def _exact(dim: int):
     def run(batches):
         import pyarrow as pa
@@ -228,15 +279,21 @@ def similar_vectors(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, l
     rows, n, dim = _usable(vectors, id_col, vec_col)
     if not n:
         return rows.select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"), F.lit(1).alias("place")).limit(0)
-    side = int(min(4096, max(4, round((n / PER_CELL) ** 0.5))))
+    side = int(max(4, round((n / PER_CELL) ** 0.5)))
     by_vector = rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).groupBy("h1", "h2")
     # copies: classes of equal vectors; the representative is the least id
     many = by_vector.agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep <> top").select("h1", "h2", "rep")
     member_of = cut(rows.select("id", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).join(many, ["h1", "h2"]).select("id", "rep").dropDuplicates(["id"]))
     reps = rows.join(member_of.where("id <> rep").select("id"), "id", "left_anti")
-    routed = split_hot(reps.mapInArrow(_router(dim, side), "cell long, id long, code binary"), "cell", "id", HOT_CELL) if n > HOT_CELL else reps.mapInArrow(_router(dim, side), "cell long, id long, code binary").withColumn("asks", F.lit(False))
-    rough = routed.repartition("cell").mapInArrow(_cell_search(dim, k, least_cosine), _EDGE)
-    pairs = rough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates(["a", "b"])
+    routed = split_hot(reps.mapInArrow(_router(dim, side), "cell long, id long, code binary"), "cell", "id", HOT_CELL, n * TABLES * PROBES)
+    parts = partitions(reps.sparkSession, n * TABLES * PROBES, TASK_ROWS)
+    rough = cut(routed.repartition(parts, "cell").mapInArrow(_cell_search(dim, k, least_cosine), _EDGE))
+    # vectors that codes cannot tell apart meet in their cells once more, as they are; each cell names a row once
+    marked = rough.where(F.col("cosine") == MARK).select(F.col("a").alias("cell"), F.col("b").alias("id")).distinct()
+    vectors_of = marked.join(reps.groupBy("id").agg(F.first("v").alias("v")), "id").select("cell", "id", "v")
+    close = vectors_of.repartition("cell").mapInArrow(_crowd_search(dim, k, least_cosine), _EDGE)
+    near = rough.where(F.col("cosine") < MARK).unionByName(close)
+    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates(["a", "b"])
     once = reps.groupBy("id").agg(F.first("v").alias("v"))
     both = pairs.join(once.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(once.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
     exact = both.mapInArrow(_exact(dim), _EDGE).where(F.col("cosine") >= least_cosine)

@@ -90,7 +90,7 @@ def test_hot_shards(spark, monkeypatch):
     base = prose(rng, 80)
     rows = [(i, base + " " + WORDS[i % 20] + str(i)) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, t string")
-    monkeypatch.setattr(near_duplicates.shard_rows, "__defaults__", (30,))
+    monkeypatch.setattr(near_duplicates.shard_rows, "__defaults__", (0, 30))
     assert near_duplicates.similar_pairs(df, "id", "t", 0.6).count() == 120 * 119 // 2
 
 

@@ -61,3 +61,17 @@ def test_split_cell_meets_all(spark, monkeypatch):
     found = {tuple(r) for r in vectors.similar_vector_pairs(df, "chunk_id", "embeddings").collect()}
     true = brute(f32, 5, 0.85)
     assert len(found & true) >= 0.95 * len(true)
+
+
+def test_groups_of_very_close_vectors(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(20):
+        centre = rng.standard_normal(64)
+        centre /= np.linalg.norm(centre)
+        rows += [(len(rows) + i, (centre + rng.standard_normal(64) * 0.0022).astype(np.float32).tolist()) for i in range(100)]
+    rows += [(len(rows) + i, rng.standard_normal(64).astype(np.float32).tolist()) for i in range(2000)]
+    df = spark.createDataFrame([(i, v, "") for i, v in rows], SCHEMA)
+    found = {tuple(r) for r in vectors.similar_vector_pairs(df, "chunk_id", "embeddings").collect()}
+    true = brute(rows, 5, 0.85)
+    assert len(found & true) >= 0.97 * len(true) and len(found - true) <= 0.03 * len(true)
