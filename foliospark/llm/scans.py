@@ -1,8 +1,9 @@
 """Text of scanned pages made continuous and readable (problem 6).
 
 An *averaged-perceptron character editor* reads every word that a lexicon does not know and chooses among
-keep, replace, delete and insert operations (lines are joined by a fixed rule, README); its weights are trained on clean texts of the same
-collection, damaged by a noise table.  Features are the operation, how often the word before and after the
+keep, replace, delete and insert operations, and behind a hyphen at a line end whether to join the lines to one word, to
+a compound or not; its weights are trained on clean texts of the same collection, damaged by a noise table, cut words
+and compounds.  Features are the operation, how often the word before and after the
 operation occurs in clean text, and how common the character triples and quadruples around it are (so names,
 which no lexicon has, can be read too).  A second averaged perceptron finds page furniture from the place and
 shape of a line: page-number patterns, likeness to the book's headings, whether it breaks into a sentence, whether
@@ -35,7 +36,7 @@ from .samples import bounded_sample
 from .sentences import clean_text, content_offset
 
 PER_LABEL = 512
-PAGES = 1500
+PAGES = 1500  # least number of pages that the line perceptron is trained on; a sample with more rows gives one page a row
 MOST = 255
 LEAST_SCANNED = 3
 # Characters as misread and as printed.
@@ -53,6 +54,8 @@ DIGITS = {"O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "I": "1", "l": "1",
 # How often the rarer readings occur against the common ones when training.
 _RARE = {("li", "h"), ("I", "l"), ("O", "Q"), ("tl", "d"), ("ri", "n"), ("nn", "m"), ("u", "ii"), ("i", "l"), ("t", "f"), ("e", "c"), ("1", "i"), ("8", "B"), ("ध", "घ"), ("ि", "ी"), ("ु", "ू"), ("ै", "े"), ("ौ", "ो"), ("ड", "ङ"), ("रव", "ख"), ("ं", "ँ"), ("", "ँ")}
 
+# Ways to go on behind a line that ends in a hyphen: one word, a compound with its hyphen, two words.
+JOINS = ("join", "hyphen", "apart")
 EDGE = ".,;:!?()[]{}\"'«»“”„‘’¿¡…|।॥%*•/"
 _PART = re.compile(r"['’\-‐‑/.]")
 _HYPHEN = "-­‐"
@@ -165,6 +168,7 @@ class Editor:
             self.grams.update(_grams(w))
         self.words = Perceptron()
         self.lines = Perceptron()
+        self.joins = Perceptron()
         self._seen: dict[str, str] = {}
 
     def counting(self, of) -> None:
@@ -251,6 +255,47 @@ class Editor:
                 data.append(([f for _, f in c], right))
         self.words.train(data)
 
+    def join_candidates(self, a: str, b: str, comp: int | None = None) -> list[list[str]]:
+        """Features of the ways to go on from *a*, a word that a line ends with a hyphen behind, to *b*: one word, a
+        compound with its hyphen, or two words (JOINS)."""
+        wa, wb = a.split("-")[-1].strip(EDGE), b.strip(EDGE)
+        whole, compound = (a + b).strip(EDGE), (a + "-" + b).strip(EDGE).lower()
+        lex, parts = min(self._lex(_PART.split(whole)[-1] if "-" in a else whole), 2), f"{min(self._lex(wa), 2)}{min(self._lex(wb), 2)}"
+        comp = int(compound in self.compounds) if comp is None else comp
+        shape = f"{'u' if wb[:1].isupper() else 'l'}{'s' if len(wa) < 3 or len(wb) < 3 else 'l'}"
+        seen = f"lex{lex}comp{comp}"
+        return [[f"{op}", f"{op} {seen}", f"{op} {seen} parts{parts}", f"{op} {shape}", f"{op} parts{parts} {shape}"] for op in JOINS]
+
+    def join(self, a: str, b: str) -> str:
+        """The way of JOINS that the perceptron chooses (one word, where none is better)."""
+        c = self.join_candidates(a, b)
+        return JOINS[max(range(len(c)), key=lambda k: (self.joins.score(c[k]), -k))]
+
+    def drawn_joins(self, texts: list[str], cases: int = 6_000, seed: int = 7) -> list[tuple[str, str, int]]:
+        """(end of a line without its hyphen, begin of the next, number in JOINS) of the training cases: words cut
+        anywhere, compounds cut at their hyphen, and words that stand before another with a hyphen as they are.
+        Number -1 stands for two words that are taken for a compound of the corpus, so that some are met in any sample."""
+        rng = random.Random(seed)
+        whole, compounds, apart = [], [], []
+        for t in texts:
+            toks = t.split()
+            for tok, nxt in zip(toks, [*toks[1:], ""]):
+                w = tok.strip(EDGE)
+                if tok[-1] == "-" and len(tok) > 1 and nxt:
+                    apart.append((tok[:-1], nxt, 2))
+                elif "-" in w and all(map(str.isalpha, w.split("-"))):
+                    cut_at = rng.choice([i for i, c in enumerate(w) if c == "-"])
+                    compounds.append((w[:cut_at], w[cut_at + 1 :], 1))
+                elif len(w) > 4 and w.isalpha():
+                    whole.append(w)
+        out = [(w[:i], w[i:], 0) for w in rng.sample(whole, min(cases, len(whole))) for i in [rng.randint(2, len(w) - 2)]]
+        for found in (compounds, apart):
+            out += rng.sample(found, min(cases // 6, len(found)))
+        return out + [(*rng.sample(whole, 2), -1) for _ in range(min(cases // 12, len(whole) // 2))]
+
+    def train_joins(self, drawn: list[tuple[str, str, int]]) -> None:
+        self.joins.train([(self.join_candidates(a, b, 1 if right < 0 else None), abs(right)) for a, b, right in drawn])
+
     def reading(self, w: str) -> str:
         """What a word without punctuation should read."""
         if len(w) < 2 or self.known(w):
@@ -356,10 +401,12 @@ def line_features(lines: list[str], i: int, titles: list[str]) -> list[str]:
     ends = t[-1:] in ".!?।|»\"”,;:-­"
     breaks = bool(before) and before[-1:] not in ".!?।|»\"”"
     fits = len(t) + 1 + len(after.split(" ")[0]) <= width - 2 if after else False
+    place = "first" if not before else "last" if not after else "inner"
+    beside = any(_PAGE_NUMBER.match(lines[k].strip()) for k in (i - 1, i + 1) if 0 <= k < len(lines))  # another line of furniture
     if number:  # its width and marks say nothing
-        return ["number", f"number breaks:{breaks}", f"number alone:{len(lines) == 1}"]
+        return ["number", f"number breaks:{breaks}", f"number alone:{len(lines) == 1}", f"number place:{place}"]
     shape = "up" if t.isupper() else "title" if t[:1].isupper() or t[:1].isdigit() else "other"
-    return [f"head:{head}", f"head:{head} ends:{ends}", f"dec:{decorated} head:{head}", f"breaks:{breaks} ends:{ends}", f"fits:{fits} ends:{ends}", f"shape:{shape} ends:{ends}", f"short:{len(t) * 2 < width}", "bias"]
+    return [f"head:{head}", f"head:{head} ends:{ends}", f"dec:{decorated} head:{head}", f"breaks:{breaks} ends:{ends}", f"fits:{fits} ends:{ends}", f"shape:{shape} ends:{ends}", f"short:{len(t) * 2 < width}", f"place:{place} head:{head}", f"place:{place} ends:{ends}", f"beside:{beside} head:{head}", "bias"]
 
 
 def _wrapped(text: str, rng: random.Random, titles: list[str]) -> tuple[list[str], list[bool]]:
@@ -378,7 +425,7 @@ def _wrapped(text: str, rng: random.Random, titles: list[str]) -> tuple[list[str
         f = rng.choice([n, f"- {n} -", f"Page {n}", name or n, name or n, f"{n} | {name}", f"[{n}] {name}", f"{name} {n}"] if name else [n, f"- {n} -", f"Page {n}"])
         if rng.random() < 0.2:
             f = " ".join(damaged(w, rng) if rng.random() < 0.3 else w for w in f.split(" "))
-        at = rng.randint(0, len(lines))
+        at = 0 if rng.random() < 0.2 else rng.randint(0, len(lines))  # a page or the text begins with it, or it stands between
         lines.insert(at, f)
         mark.insert(at, True)
     return lines, mark
@@ -389,6 +436,7 @@ def fit(rows: list[tuple[str, list[str]]], scanned: list[str] = ()) -> Editor:
     texts = [t for t, _ in rows]
     ed = Editor(texts, scanned)
     ed.train_words(ed.drawn(texts))
+    ed.train_joins(ed.drawn_joins(texts))
     train_lines(ed, rows)
     return ed
 
@@ -396,7 +444,7 @@ def fit(rows: list[tuple[str, list[str]]], scanned: list[str] = ()) -> Editor:
 def train_lines(ed: Editor, rows: list[tuple[str, list[str]]]) -> None:
     rng = random.Random(11)
     cases = []
-    pages = (rows * (PAGES // max(1, len(rows)) + 1))[:PAGES]
+    pages = (rows * (PAGES // max(1, len(rows)) + 1))[: max(PAGES, len(rows))]  # every row of the sample at least once
     for text, titles in pages:
         keys = [heading_key(x) for x in titles]
         lines, mark = _wrapped(text, rng, titles)
@@ -442,16 +490,16 @@ def repairs(ed: Editor, text: str, titles: list[str]) -> tuple[list[tuple[int, s
             joined = False
             if k == 0 and held is not None:
                 hpos, hword, raw = held
+                held = None
                 body = tok.lstrip(EDGE)
-                hyphened = raw + "-" + body
-                plain_word = raw + body
-                bare = hyphened.strip(EDGE).lower()
-                if bare in ed.compounds and not ed.known(plain_word.strip(EDGE)):
-                    paragraphs[-1].append(hyphened)
-                    held = None
+                way = ed.join(raw, body)
+                if way == "hyphen":
+                    paragraphs[-1].append(raw + "-" + body)
                     continue
-                pos, tok, joined = hpos, plain_word, True
-                held = None
+                if way == "join":
+                    pos, tok, joined = hpos, raw + body, True
+                else:
+                    paragraphs[-1].append(raw + "-")
             if k == len(toks) - 1 and len(tok) > 1 and tok[-1] in _HYPHEN and tok[-2].isalpha() | (tok[-2] > "ऀ") and any(lines[j].strip() and not drop[j] for j in range(i + 1, len(lines))):
                 held = (pos, tok[:-1], tok[:-1])
                 continue
@@ -589,7 +637,14 @@ def corpus_counts(chunks: DataFrame) -> DataFrame:
     return every.mapInArrow(_hashed, "h long, n long").groupBy("h").agg(F.least(F.sum("n"), F.lit(MOST)).alias("n"))
 
 
-def _asked_for(editor: Editor, scans: DataFrame, drawn: list[tuple[str, str]]) -> DataFrame:
+def _join_counts(a: str, b: str) -> list[tuple[str, str]]:
+    """What Editor.join_candidates asks for; behind a join the words are read, whole or apart."""
+    whole = (a + b).strip(EDGE)
+    words = {a.split("-")[-1].strip(EDGE), b.strip(EDGE), whole, _PART.split(whole)[-1]}
+    return [("c", (a + "-" + b).strip(EDGE).lower()), *(("r", w) for w in sorted(words) if w)]
+
+
+def _asked_for(editor: Editor, scans: DataFrame, drawn: list[tuple[str, str]], joins: list[tuple[str, str, int]]) -> DataFrame:
     """Column h: hashes of all counts that reading the scanned texts and training on *drawn* may ask for."""
     spark = scans.sparkSession
     shared = spark.sparkContext.broadcast(editor)  # bounded by the sample
@@ -603,7 +658,7 @@ def _asked_for(editor: Editor, scans: DataFrame, drawn: list[tuple[str, str]]) -
         lines.lines = ed.lines
         lines.reading = lambda w: noted.add(("r", w)) or w
         lines.known = lambda w: noted.add(("k", w)) or True
-        lines.compounds = Asked("c", noted)
+        lines.join = lambda a, b: noted.update(_join_counts(a, b)) or JOINS[0]
         keys: dict[tuple, list[str]] = {}
         for b in batches:
             for text, heads in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -643,7 +698,8 @@ def _asked_for(editor: Editor, scans: DataFrame, drawn: list[tuple[str, str]]) -
 
     asked = scans.select("page_content", "titles").mapInArrow(words, "kind string, text string")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few words are much work
-    cases = spark.createDataFrame([("t", w) for w in sorted({w for w, _ in drawn})], "kind string, text string")
+    asked_joins = {("k" if k == "r" else k, t) for a, b, _ in joins for k, t in _join_counts(a, b)}
+    cases = spark.createDataFrame(sorted({("t", w) for w, _ in drawn} | asked_joins), "kind string, text string")  # bounded by the sample
     return asked.unionByName(cases).distinct().repartition(parts, "text").mapInArrow(keys_of, "h long").distinct()
 
 
@@ -664,12 +720,14 @@ def _scan(chunks: DataFrame, toc: DataFrame, per_label: int, whole: bool) -> Dat
     editor = Editor([t for t, _ in rows])
     train_lines(editor, rows)
     drawn = editor.drawn([t for t, _ in rows])
-    counts = corpus_counts(chunks).join(_asked_for(editor, with_heads, drawn), "h", "left_semi").toArrow()
+    joins = editor.drawn_joins([t for t, _ in rows])
+    counts = corpus_counts(chunks).join(_asked_for(editor, with_heads, drawn, joins), "h", "left_semi").toArrow()
     hashes, n = counts["h"].to_numpy(), counts["n"].to_numpy().astype(np.uint8)
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
     editor.counting(lambda kind: Counts(kind, hashes, n))
     editor.train_words(drawn)
+    editor.train_joins(joins)
     shared = spark.sparkContext.broadcast(editor)  # nine bytes for every count that is asked for
 
     def run(batches):
