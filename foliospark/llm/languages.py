@@ -3,17 +3,20 @@
 One *interpolated Kneser-Ney character model* of order 4 per language is fitted on a bounded sample of
 labelled texts.  N-grams of all languages share *sorted hash arrays*, one for each order, with a row of log
 probabilities (a column a language); a text is scored by binary search of its hashed windows.  The lowest
-length-normalised cross-entropy wins; a sentence whose margin or whose entropy is outside what the sample
-shows is rejected and takes the language of its neighbours.  Labels of the sample are partly wrong, so the
-models are fitted twice: the second time on the sentences that the first models confirm.
-
-Defined results for odd input: null and blank texts give no rows; texts without a single letter of a known
-language (rejected wholly) give none; repeated rows of one id count once; an empty table, or one without
+length-normalised cross-entropy wins; a sentence whose margin is small, or whose entropy is above what held-out
+sentences of that language show, is rejected and takes the language of its neighbours.  Labels of the sample are
+partly wrong, so the models are fitted twice: the second time on the sentences that the first models confirm.  The
+first models do without a fifth of the sentences, which calibrate the rejection and the confidence: a confidence
+is how often sentences and pieces of them with that lead were named rightly.
+
+Defined results for odd input: null and blank texts give no rows; texts without a letter, and texts of which
+all sentences are rejected by their entropy (languages without labels, noise), give none; repeated rows of one id count once; an empty table, or one without
 a usable label, gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -29,6 +32,7 @@ PER_LABEL = 512
 BLOCK = 120_000
 SWITCH = 7.0
 LEAST_MARGIN = 0.08
+HELD_OUT = 5
 # Labels that stand for none.
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "und", "unknown", "unk", "?", "other", "mul", "zxx", "xx")
 _WRAP = re.compile(r"(?<=[^\n.!?।|。！？\"”»)])\n(?=[^\n\-*•\d(])|(?<=[^\n])\n(?=[a-zß-ÿ][^A-Z])")
@@ -145,6 +149,14 @@ class _OneLanguage:
         return np.where(at >= 0, self.p[k][at] if len(self.p[k]) else 0.0, self.floor)
 
 
+def evidence(scores: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Lead of the best score of each row over the second, by the root of the length (characters depend on each other)."""
+    if scores.shape[1] < 2:
+        return np.full(len(scores), 1e3)
+    two = np.partition(scores, -2, axis=1)[:, -2:]
+    return (two[:, 1] - two[:, 0]) / np.sqrt(np.maximum(1.0, chars))
+
+
 class Models:
     """Shared sorted hash arrays of all languages."""
 
@@ -178,7 +190,31 @@ class Models:
             self.rows.append(rows)
             self.ctx_keys.append(ctx_keys)
             self.backs.append(backs)
-        self.typical: dict[str, tuple[float, float]] = {}
+        self.typical: dict[str, tuple[float, int]] = {}  # highest entropy of own sentences, and of how many
+        self.steps, self.rates = np.array([0.0]), np.array([0.5])  # confidence by evidence
+
+    def calibrate(self, first: Models, held: list[tuple[str, np.ndarray]]) -> None:
+        """Confidence by evidence: how often *first*, which has not seen the held-out sentences, names their language, by
+        the lead of the best score over the second.  Short pieces of them are counted too, as long ones say little
+        about doubt."""
+        leads, right = [], []
+        for n in (8, 16, 32, 10_000):
+            texts = [(name, c[:n]) for name, c in held if len(c) >= min(n, 32)]
+            if not texts:
+                continue
+            codes, _ = joined([c for _, c in texts])
+            length = np.array([len(c) for _, c in texts])
+            at = np.cumsum(length + ORDER) - length
+            s = first.sentence_scores(codes, np.stack([at, at + length], axis=1))
+            leads.append(evidence(s, length))
+            right.append(np.array([self.names[k] == name for k, (name, _) in zip(s.argmax(axis=1), texts)]))
+        if not leads:
+            return
+        lead, hit = np.concatenate(leads), np.concatenate(right)
+        order = np.argsort(lead, kind="stable")
+        parts = [p for p in np.array_split(order, max(1, min(64, len(order) // 50))) if len(p)]
+        self.steps = np.array([lead[p].mean() for p in parts])
+        self.rates = np.maximum.accumulate(np.array([(hit[p].sum() + 1) / (len(p) + 2) for p in parts]))
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """(character, language) log probabilities."""
@@ -256,16 +292,22 @@ def fit(rows: list[tuple[str, str, str | None]]) -> Models | None:
         a, b = ends[k] - lengths[k], ends[min(k + 2000, len(sents)) - 1]
         best[k : k + 2000] = np.add.reduceat(freq[inv[a:b]], (ends[k : k + 2000] - lengths[k : k + 2000] - a), axis=0).argmax(axis=1)
     kept = best == label
-    models = None
-    for _ in range(2):
-        chosen = {n: [sents[i][1] for i in np.flatnonzero(kept & (label == j))] for j, n in enumerate(names)}
+    held = np.arange(len(sents)) % HELD_OUT == 0  # the first models do without these, which calibrate them
+    models, first = None, None
+    for fitted in (kept & ~held, None):
+        use = kept if fitted is None else fitted
+        chosen = {n: [sents[i][1] for i in np.flatnonzero(use & (label == j))] for j, n in enumerate(names)}
         models = Models({n: v or [sents[i][1] for i in np.flatnonzero(label == j)] for j, (n, v) in enumerate(chosen.items())})
-        rate = models.sentence_scores(codes, spans) / lengths[:, None]
-        kept &= rate.argmax(axis=1) == label
-    # calibration: how high the entropy of a language's own sentences goes
-    for j, n in enumerate(names):
-        e = -rate[kept & (label == j), j]
-        models.typical[n] = (float(e.mean()), float(e.std() + 0.05)) if len(e) else (3.0, 1.0)
+        if first is None:
+            first = models
+            rate = models.sentence_scores(codes, spans) / lengths[:, None]
+            kept &= rate.argmax(axis=1) == label
+            e = -rate[np.arange(len(sents)), label]
+            for j, n in enumerate(names):  # how high the entropy of a language's own held-out sentences goes
+                own = e[held & kept & (label == j)]
+                models.typical[n] = (float(np.quantile(own, 0.999) + max(3 * own.std(), 0.5)), len(own)) if len(own) else (math.inf, 0)
+    models.typical = first.typical
+    models.calibrate(first, [sents[i] for i in np.flatnonzero(held & (best == label))])
     return models
 
 
@@ -274,7 +316,7 @@ class Segmenter:
 
     def __init__(self, models: Models):
         self.m = models
-        self.high = np.array([models.typical[n][0] + 8 * models.typical[n][1] + 1.0 for n in models.names])
+        self.high = np.array([models.typical[n][0] for n in models.names])
 
     def segments(self, text: str, spans: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, str, float]]:
         """(first sentence, language, confidence) of each run; empty if all is rejected."""
@@ -283,17 +325,17 @@ class Segmenter:
         best = rate.argmax(axis=1)
         top = rate[np.arange(len(spans)), best]
         second = np.partition(rate, -2, axis=1)[:, -2] if rate.shape[1] > 1 else top - 1
-        rejected = (-top > self.high[best]) | (top - second < LEAST_MARGIN)
-        if _letters(text) == 0:
+        unknown = -top > self.high[best]
+        rejected = unknown | (top - second < LEAST_MARGIN)
+        if _letters(text) == 0 or unknown.all():
             return []
         if len(set(best[~rejected].tolist())) > 1:  # figures are no evidence for a change of language
             words = [text[a:b] for a, b in spans]
             rejected |= np.array([2 * _letters(w) < len(w) - w.count(" ") for w in words])
             scores = np.where(rejected[:, None], 0.05 * scores, scores)
         if len(set(best[~rejected].tolist())) <= 1:
-            total = scores[~rejected].sum(axis=0) if (~rejected).any() else scores.sum(axis=0)
-            chars = length[~rejected].sum() if (~rejected).any() else length.sum()
-            return [(0, *self._named(total, chars))]
+            sure = ~rejected if (~rejected).any() else ~unknown
+            return [(0, *self._named(scores[sure].sum(axis=0), length[sure].sum()))]
         e = np.where(rejected[:, None], 0.25, 1.0) * scores
         e = e - e.max(axis=1, keepdims=True)
         path = self._path(e)
@@ -319,9 +361,8 @@ class Segmenter:
 
     def _named(self, total: np.ndarray, chars: float, j: int | None = None) -> tuple[str, float]:
         j = int(total.argmax()) if j is None else j
-        # the characters of a sentence depend on each other: the exponent grows with the root of the length
-        z = np.exp((total - total[j]) / max(1.0, chars) ** 0.5)
-        return self.m.names[j], float(1 / z.sum())
+        lead = total[j] - np.delete(total, j).max() if len(total) > 1 else 1e3
+        return self.m.names[j], float(np.interp(lead / max(1.0, chars) ** 0.5, self.m.steps, self.m.rates))
 
 
 def label_column(languages_rows, column: str = "language") -> F.Column:

@@ -190,6 +190,44 @@ def test_models_are_distributions():
     assert 0.97 < total < 1.001
 
 
+LANGUAGE_WORDS = {
+    "English": WORDS,
+    "German": "fluss stein garten fenster papier silber gebirge brücke winter maschine dorf kerze markt wald donner tasche leiter marmor kupfer gelb".split(),
+    "Chinese": "河水 石桥 花园 窗户 纸张 白银 高山 冬天 机器 村庄 蜡烛 市场 森林 雷声 口袋 梯子 大理石 铜".split(),
+}
+
+
+def spoken(rng, name, n=9):
+    gap, end = ("", "。") if name == "Chinese" else (" ", ". ")
+    return "".join(gap.join(rng.choice(LANGUAGE_WORDS[name]) for _ in range(n)).capitalize() + end for _ in range(4)).strip()
+
+
+def test_languages_without_labels_are_rejected(spark):
+    rng = random.Random(4)
+    rows = [(3 * i + j, spoken(rng, n), "", "text", n) for i in range(120) for j, n in enumerate(LANGUAGE_WORDS)]
+    strange = ["Река течёт зимой мимо старого каменного моста.", "Το ποτάμι κυλά δίπλα στην παλιά πέτρινη γέφυρα.", "강물은 겨울에 오래된 돌다리를 지나 흐른다.", "Il fiume scorre accanto al vecchio ponte di pietra.", "xqzj wvkp ttrq lmnb zxcv qqwp kjhg fdsa", "12 34 567"]
+    rows += [(1000 + i, t, "", "text", None) for i, t in enumerate(strange)] + [(2000 + i, spoken(rng, n), "", "text", None) for i, n in enumerate(LANGUAGE_WORDS)]
+    df = spark.createDataFrame(rows, "chunk_id long, page_content string, source string, type string, language string")
+    got = {r["chunk_id"]: r for r in languages.language_segments(df, label_table(spark)).where("chunk_id >= 1000").collect()}
+    assert {k: r["language"] for k, r in got.items()} == {2000 + i: n for i, n in enumerate(LANGUAGE_WORDS)}
+    assert all(r["confidence"] > 0.9 for r in got.values())
+
+
+def test_confidence_is_a_hit_rate():
+    rng = random.Random(5)
+    m = languages.fit([(n, spoken(rng, n), None) for _ in range(150) for n in LANGUAGE_WORDS])
+    seg = languages.Segmenter(m)
+    said, right = [], []
+    for _ in range(400):
+        n = rng.choice(["English", "German"])
+        c = languages.folded(spoken(rng, n)[:8])
+        name, confidence = seg._named(m.sentence_scores(c, np.array([[0, 8]]))[0], 8)
+        said.append(confidence)
+        right.append(name == n)
+    assert abs(np.mean(said) - np.mean(right)) < 0.1
+    assert np.all(np.diff(m.rates) >= 0) and m.rates[-1] > 0.95
+
+
 # --- packing ---
 
 
