@@ -407,6 +407,19 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.document_subjects(dd.limit(0), aa, ll).count() == 0 and subjects.document_subjects(dd, aa, ll.limit(0)).count() == 0
 
 
+def test_posterior_decides_where_words_disagree():
+    m = subjects.Subjects(["law", "sport"])
+    m.lexicon = {"judge": (0, 1.0), "court": (0, 1.0), "goal": (1, 1.0), "match": (1, 1.0)}
+    m.speaks, m.strays = np.array([0.6, 0.3, 0.5, 0.8, 0.8, 0.8]), np.array([0.02, 0.1, 0.02, 0.8, 0.8, 0.8])
+    m.right = np.array([0.97, 0.6, 0.95, 0.9, 0.5, 0.5])
+    mixed = "The judge saw a goal."  # one word of each: the lexicon alone takes the first area
+    text = f"A goal ended the match. {mixed} {mixed} {mixed} A match has a goal. A match has a goal."
+    assert m.document_areas(text, None, None, {}) == ["sport"]
+    without = np.array([[v if f != 3 else subjects.SILENT for f, v in enumerate(v)] for v in m.votes(text, None, None)])
+    assert m.posteriors(without)[:, :2].argmax(axis=1).tolist() == [1, 0, 0, 0, 1, 1]
+    assert m.document_areas("This page was left blank. " * 5, None, None, {}) == [] == m.document_areas("", None, None, {})
+
+
 def test_sample_is_bounded_and_repeatable(spark):
     df = spark.range(5000).selectExpr("id", "id % 2 AS g", "cast(id as string) AS v")
     a = bounded_sample(df, "id", "g", ["v"], 64)
