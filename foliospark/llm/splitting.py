@@ -1,11 +1,11 @@
 """Pieces of texts that exceed a token limit (problem 4).
 
-*Structure-tree packing*: a text is parsed into a tree (text, blocks between blank lines, lines, sentences)
-whose nodes carry their span; the leaves are sentences or list items.  The packer fills a piece from left to
-right with whole subtrees as long as the span from the piece's start to the subtree's end stays within
-the limit, and descends only into a subtree that does not fit.  So a piece is the longest run of whole
-sentences within the limit, found without visiting the sentences of subtrees that fit.  A sentence that
-alone exceeds the limit is cut after every limit-th token.
+*Structure-tree packing*: a text is parsed into a tree (text, sections under headings, blocks between blank lines, lists
+and lines, sentences) whose nodes carry their span; the leaves are sentences or list items.  Sibling subtrees are
+merged from left to right as long as the span from the piece's start to the subtree's end stays within the limit, and
+only a subtree that does not fit is descended into.  So a piece is the longest run of whole sentences within the
+limit, found without visiting the sentences of subtrees that fit.  A sentence that alone exceeds the limit is cut
+after every limit-th token.
 
 A token is one character of U+0E00-0E7F, U+3000-30FF, U+4E00-9FFF or U+FF00-FFEF, or a longest run of
 other characters except space, tab, LF and CR.
@@ -29,32 +29,82 @@ TOKEN = re.compile(f"[{_SINGLE}]|[^ \\t\\n\\r{_SINGLE}]+")
 JVM_TOKEN = "[\\u0E00-\\u0E7F\\u3000-\\u30FF\\u4E00-\\u9FFF\\uFF00-\\uFFEF]|[^ \\t\\n\\r\\u0E00-\\u0E7F\\u3000-\\u30FF\\u4E00-\\u9FFF\\uFF00-\\uFFEF]+"
 
 
+_HEADING = re.compile(r"[ \t]*(?:(?P<marks>#{1,6})[ \t]+\S|<h(?P<tag>[1-6])\b|(?P<number>\d{1,2}(?:\.\d{1,2})+)\.?[ \t]+\S.{0,78}(?<![.!?;,:])$)", re.I | re.M)
+_ITEM = re.compile(r"[ \t]*(?:[-*•–—▪◦·‣]|\d{1,3}[.)]|\([0-9A-Za-z]{1,3}\)|[A-Za-z]\)|<li\b)[ \t]*\S", re.I)
+
+
+def _heading_level(text: str, at: int) -> int:
+    """Level of the heading that the line at offset *at* is: marks, tag or a number of several parts; 0 for none."""
+    m = _HEADING.match(text, at)
+    if not m:
+        return 0
+    return len(m["marks"]) if m["marks"] else int(m["tag"]) if m["tag"] else m["number"].count(".") + 1
+
+
 def structure(text: str, units: list[tuple[int, int]]) -> list:
-    """The tree over *units*: [start, end, children]; a leaf has no children."""
-    blocks: list = []
+    """The tree over *units*: [start, end, children]; a leaf has no children.
+
+    Headings open sections that hold all behind them up to the next heading of their level or a higher one; a section
+    holds blocks (parted by blank lines), a block lines and lists (list lines in a row), a line sentences.
+    """
+    root: list = [0, []]  # level, children
+    open_sections = [root]
     block: list = []
+    items: list = []
     line: list = []
+    in_list = False
+
+    def node(children: list) -> list:
+        return children[0] if len(children) == 1 else [children[0][0], children[-1][1], children]
 
-    def close(level: int) -> None:
-        nonlocal line, block
+    def close_line() -> None:
+        nonlocal line
         if line:
-            block.append([line[0][0], line[-1][1], line])
+            (items if in_list else block).append(node(line))
             line = []
-        if level > 1 and block:
-            blocks.append([block[0][0], block[-1][1], block])
+
+    def close_list() -> None:
+        nonlocal items
+        if items:
+            block.append(node(items))
+            items = []
+
+    def close_block() -> None:
+        nonlocal block
+        close_line()
+        close_list()
+        if block:
+            open_sections[-1][1].append(node(block))
             block = []
 
+    def close_sections(level: int) -> None:
+        while open_sections[-1][0] >= level and len(open_sections) > 1:
+            done = open_sections.pop()[1]
+            if done:
+                open_sections[-1][1].append(node(done))
+
     last = None
     for s, e in units:
-        if last is not None:
-            gap = text[last:s]
-            n = gap.count("\n")
-            if n:
-                close(2 if n > 1 else 1)
+        breaks = 1 if last is None else text.count("\n", last, s)
+        if breaks:
+            close_line()
+            begin = text.rfind("\n", 0, s) + 1
+            if breaks > 1:
+                close_block()
+            level = _heading_level(text, begin)
+            if level:
+                close_block()
+                close_sections(level)
+                open_sections.append([level, []])
+            listed = not level and _ITEM.match(text, begin) is not None
+            if in_list and not listed:
+                close_list()
+            in_list = listed
         line.append([s, e, []])
         last = e
-    close(2)
-    return [blocks[0][0], blocks[-1][1], blocks] if blocks else [0, 0, []]
+    close_block()
+    close_sections(0)
+    return node(root[1]) if root[1] else [0, 0, []]
 
 
 class _Counter:

@@ -157,6 +157,65 @@ def test_pieces_overlap_as_set(spark):
     assert splitting.pack("Ax be. Cx de. A b c d e f g. Hx ie.", [(0, 6), (7, 13), (14, 28), (29, 35)], 4, 2) == [(0, 13), (14, 21), (22, 28), (29, 35)]
 
 
+def test_structure_has_sections_and_lists():
+    text = "# One\nFirst text. More text.\n\n- item a\n- item b\nafter.\n## Two\nInner.\n# Three\nLast.\n3.1 Sub heading\nEnd."
+    units = splitting.split_sentences(text)
+    tree = splitting.structure(text, units)
+
+    def shown(node):
+        s, e, children = node
+        return [shown(c) for c in children] if children else text[s:e].strip()
+
+    one = [["# One", ["First text.", "More text."]], [["- item a", "- item b"], "after."], ["## Two", "Inner."]]
+    assert shown(tree) == [one, [["# Three", "Last."], ["3.1 Sub heading", "End."]]]
+    flat = lambda n: [tuple(n[:2])] if not n[2] else [x for c in n[2] for x in flat(c)]
+    assert flat(tree) == units and splitting.structure("", []) == [0, 0, []]
+
+
+def plain_pieces(text, units, limit, overlap):
+    """The rule read off word by word, one sentence after the other."""
+    n = lambda s, e: len(splitting.TOKEN.findall(text[s:e]))
+    pieces, k, first, fresh = [], 0, 0, True
+    while k < len(units):
+        s, e = units[k]
+        if n(s, e) > limit:
+            marks = [m.span() for m in splitting.TOKEN.finditer(text, s, e)]
+            for i in range(0, len(marks), limit):
+                part = marks[i : i + limit]
+                pieces.append((s if i == 0 else part[0][0], e if i + limit >= len(marks) else part[-1][1]))
+            k, fresh = k + 1, True
+            continue
+        at = k
+        if not fresh:
+            while at > first and k - at < overlap and n(units[at - 1][0], e) <= limit:
+                at -= 1
+        first, start, fresh = at, units[at][0], False
+        while k < len(units) and n(start, units[k][1]) <= limit:
+            k += 1
+        pieces.append((start, units[k - 1][1]))
+    return pieces
+
+
+def test_pieces_of_whole_tables_against_the_plain_rule(spark):
+    import os
+
+    from foliospark.llm import queries
+
+    sf = os.environ.get("FOLIO_TEST_SF", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    chunks = {r["chunk_id"]: r for r in splitting.clean_text(spark.read.parquet(f"{sf}/chunks.parquet")).collect()}
+    limits = {r["collection"]: r for r in spark.read.parquet(f"{sf}/settings.parquet").collect()}
+    want = set()
+    for cid, r in chunks.items():
+        st = limits.get(r["collection"])
+        off = splitting.content_offset(r["page_content"], r["source"])
+        body = r["page_content"][off:]
+        if st and st["emb_max_tokens"] and len(splitting.TOKEN.findall(body)) > st["emb_max_tokens"]:
+            want |= {(cid, s + off, e + off) for s, e in plain_pieces(body, splitting.split_sentences(body), st["emb_max_tokens"], st["overlap_sentences"] or 0)}
+    assert {tuple(r)[:3] for r in queries.p4_pieces(spark, sf).collect()} == want and want
+
+
 # --- languages ---
 
 TEXTS = {
