@@ -5,8 +5,8 @@
 Scripts with terminators get a *terminator lattice*: every mark that could end a sentence is a node
 and an edge is cut when the mark belongs to an abbreviation, initial, number, ordinal date or an
 embedded quotation or bracket.  Scripts without terminators (Thai) get a *word lattice*: the
-characters on either side of a gap are segmented by a dictionary, and the gap is classified by the
-last word before it and the first word behind it.
+runs on either side of a gap are segmented by a dictionary, whole, and the gap is classified by the
+last word before it (a final particle, or a word that cannot end a clause) and the first word behind it.
 
 Defined results for odd input: null and blank texts give no rows; repeated rows (same id) give one
 set of units; ties cannot occur, since units are ordered by offset; extra columns are ignored.
@@ -43,6 +43,8 @@ CARRY_ON = {
 }
 # Thai words after which a clause cannot end.
 THAI_OPEN_END = frozenset("ถึง จำนวน ปี ในปี ของ ที่ และ หรือ เป็น ว่า คือ กับ โดย ใน จาก ให้ จะ ซึ่ง เมื่อ ราว ประมาณ เพียง".split())
+# Thai particles that end a sentence.
+THAI_FINAL = frozenset("ครับ ค่ะ คะ นะคะ นะครับ จ้ะ จ๊ะ ไหม หรือไม่ จริงหรือไม่".split())
 # Thai words that open or close clauses; together with the two sets above they are the
 # closed-class part of the dictionary.
 THAI_OTHER = frozenset(
@@ -51,7 +53,7 @@ THAI_OTHER = frozenset(
 )
 # Thai words that begin or end like one of the words above.
 THAI_LONGER = frozenset("ของผสม ของเหลว ของแข็ง ของเล่น ของขวัญ กับดัก เพื่อน ต่อม ต่อเนื่อง ที่ดิน ที่นั่ง ที่อยู่ แต่งงาน ถึงแม้ ไม่ว่า ให้ความ ความน่าจะเป็น น่าจะเป็น ภายใน ข้างใน จำเป็น".split())
-THAI_WORDS = THAI_LONGER | THAI_OPEN_END | THAI_OTHER | CARRY_ON["thai"]
+THAI_WORDS = THAI_LONGER | THAI_FINAL | THAI_OPEN_END | THAI_OTHER | CARRY_ON["thai"]
 HAN_WORDS = CARRY_ON["han"]
 
 INVISIBLE = "­​‌‍⁠﻿"
@@ -63,7 +65,8 @@ _OPENERS = "\"'«“„(「『[¿¡（" + INVISIBLE
 _PAIRS = {"«": "»", "„": "“”", "“": "”", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）"}
 _OPEN = re.compile(r"[«„“(\[「『（\"]")
 _JOINED = re.compile(r"[.!?\"”»)]")
-_SPACE = re.compile(r"\s+")
+_RUN = re.compile(r"\S*")
+_LETTERS = re.compile(r"[\w%s]*" % INVISIBLE)
 _THAI = re.compile(r"[฀-๿]")
 _THAI_GAP = re.compile(r"(?<=\S)[%s]*[^\S\n]+[%s]*(?=\S)" % (INVISIBLE, INVISIBLE))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -87,6 +90,14 @@ def lattice_words(text: str, words: frozenset[str], longest: int = 16) -> list[s
     return out[::-1]
 
 
+def _run_before(line: str, i: int) -> str:
+    """The characters before offset *i* without white space."""
+    k = i
+    while k and not line[k - 1].isspace():
+        k -= 1
+    return line[k:i]
+
+
 def _script(ch: str) -> str:
     o = ord(ch)
     if 0x0900 <= o <= 0x097F:
@@ -129,10 +140,13 @@ def _thai_breaks(line: str, words: frozenset[str]) -> list[int]:
         if not ta or b.isdigit() or a.isdigit() or b in "/|-)":
             continue
         if tb:
-            before = lattice_words(line[max(0, i - 20) : i].rsplit(" ", 1)[-1], words)
+            before = lattice_words(_run_before(line, i), words)
             if before and before[-1] in THAI_OPEN_END:
                 continue
-            behind = lattice_words(_SPACE.split(line[j : j + 20], maxsplit=1)[0], words)
+            if before and before[-1] in THAI_FINAL:  # a final particle closes the sentence, whatever stands behind
+                out.append(i)
+                continue
+            behind = lattice_words(_RUN.match(line, j).group(), words)
             if behind and behind[0] in CARRY_ON["thai"]:
                 continue
             out.append(i)
@@ -178,12 +192,12 @@ def _ends(line: str, words: frozenset[str], has_thai: bool) -> list[int]:
         script = _script(nxt)
         if closed and script in CARRY_ON:
             if script == "dev":
-                if _SPACE.split(line[k : k + 16], maxsplit=1)[0].strip(",;।|.") in CARRY_ON["dev"]:
+                if _RUN.match(line, k).group().strip(",;।|.") in CARRY_ON["dev"]:
                     continue
-            elif (w := lattice_words(line[k : k + 6], HAN_WORDS if script == "han" else words)) and w[0] in CARRY_ON[script]:
+            elif (w := lattice_words(_LETTERS.match(line, k).group(), HAN_WORDS if script == "han" else words)) and w[0] in CARRY_ON[script]:
                 continue
         if mark in ".．" and line[i : i + 2] != "..":
-            tok = (line[max(0, i - 20) : i].split() or [""])[-1].lstrip(_OPENERS).strip(INVISIBLE)
+            tok = _run_before(line, i).lstrip(_OPENERS).strip(INVISIBLE)
             if not tok.isascii():
                 tok = plain(tok)
             low = tok.lower()
@@ -198,7 +212,7 @@ def _ends(line: str, words: frozenset[str], has_thai: bool) -> list[int]:
                     continue
             if "." in low and low.rsplit(".", 1)[-1] in ("g", "e", "h", "b") and len(low) < 5 and not low[0].isdigit():
                 continue
-            if tok.isdigit() and len(tok) <= 2 and script == "latin" and re.match(r"\w+", plain(line[k : k + 12])).group() in MONTHS:
+            if tok.isdigit() and len(tok) <= 2 and script == "latin" and plain(_LETTERS.match(line, k).group()) in MONTHS:
                 continue
             if k == j and (tok.isdigit() or low != tok):
                 continue  # 3.5, Node.Js
