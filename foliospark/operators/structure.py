@@ -50,7 +50,7 @@ def lines_of_words(words: DataFrame) -> DataFrame:
 
 def toc_matches(headers: DataFrame, toc: DataFrame, least: float = 80.0) -> DataFrame:
     """Headers (doc_id, block_idx, text) with the level and place of the first title of their document's table of
-    contents whose fuzzy ratio reaches *least*; null without one.
+    contents whose fuzzy ratio, without regard to case, reaches *least*; null without one.
 
     The titles of a document travel as one ordered array beside its headers, and a vectorized function stops at the
     first match, so no pairs are made.
@@ -58,7 +58,7 @@ def toc_matches(headers: DataFrame, toc: DataFrame, least: float = 80.0) -> Data
     entry = F.struct(F.col("pos"), F.col("title"), F.col("level").alias("lvl"))
     listed = toc.where("title is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_toc"))
     with_toc = headers.join(listed, "doc_id", "left")
-    at = first_match_udf(least)(F.col("text"), F.transform("_toc", lambda e: e["title"]))
+    at = first_match_udf(least)(F.lower("text"), F.transform("_toc", lambda e: F.lower(e["title"])))
     hit = with_toc.withColumn("_at", at)
     got = F.when(F.col("_at") > 0, F.element_at("_toc", F.col("_at")))
     return hit.withColumn("level", got["lvl"]).withColumn("toc_pos", got["pos"]).drop("_toc", "_at")
@@ -66,9 +66,9 @@ def toc_matches(headers: DataFrame, toc: DataFrame, least: float = 80.0) -> Data
 
 def header_font_sizes(headers: DataFrame, lines: DataFrame, least: float = 80.0) -> DataFrame:
     """Headers (doc_id, block_idx, page, text) with the mean font size of the lines of their page that match wholly
-    (ratio 100), rounded to 2 digits; headers without any match of *least* drop out."""
+    (ratio 100, without regard to case), rounded to 2 digits; headers without any match of *least* drop out."""
     hit = headers.join(lines.select("doc_id", "page", F.col("text").alias("_line"), "font_size"), ["doc_id", "page"])
-    hit = hit.withColumn("_r", partial_ratio_udf(F.col("text"), F.col("_line"))).where(F.col("_r") >= least)
+    hit = hit.withColumn("_r", partial_ratio_udf(F.lower("text"), F.lower("_line"))).where(F.col("_r") >= least)
     return hit.groupBy("doc_id", "block_idx", "page", "text").agg(F.round(F.avg(F.when(F.col("_r") >= 100, F.col("font_size"))), 2).alias("font_size"))
 
 

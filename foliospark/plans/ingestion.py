@@ -203,43 +203,52 @@ def header_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toc_fuzzy_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers (titles in capitals without their first two letters) found again in the table of contents by fuzzy ratio."""
     toc = table(spark, sf_dir, "toc").where("title is not null")
-    headers = toc.select("doc_id", F.col("pos").alias("block_idx"), F.expr("substring(title, 3)").alias("text"))
+    headers = toc.select("doc_id", F.col("pos").alias("block_idx"), F.upper(F.expr("substring(title, 3)")).alias("text"))
     return structure.toc_matches(headers, toc).select("doc_id", "block_idx", "level", "toc_pos")
 
 
-_CAPTION_ROWS = [("d1", 0, "#/tables/1", "Table two"), ("d1", 1, "#/tables/0", "Table one"), ("d1", 2, "#/tables/1", "Table two again"), ("d1", 3, "#/pictures/0", "Figure"), ("d2", 0, "#/body", "No caption"), ("d2", 1, "#/tables/0", "Other")]
-_TABLE_ROWS = [("d1", 0), ("d1", 1), ("d1", 2), ("d2", 0)]
-_IMAGE_ROWS = [("d1", 0, ["#/texts/2", "#/texts/5"]), ("d1", 1, []), ("d2", 0, ["#/texts/1", "#/texts/9"])]
-_TEXT_ROWS = [("d1", "#/texts/2", "First part"), ("d1", "#/texts/5", "second part"), ("d1", "#/texts/1", "unused"), ("d2", "#/texts/1", "Only one")]
-_WORD_ROWS = [("d", 1, "world", 10.04, 20.0, 30.0, 50.0, 12.0, "B"), ("d", 1, "Hello", 10.02, 19.0, 5.0, 25.0, 11.0, "A"), ("d", 1, "again", 10.01, 20.0, 60.0, 80.0, 12.0, "B"), ("d", 1, "next", 30.0, 41.0, 5.0, 20.0, 9.0, "A"), ("d", 1, "line", 30.04, 40.0, 22.0, 40.0, 10.0, "C"), ("d", 2, "Hello", 10.0, 19.0, 5.0, 25.0, 11.0, "A"), ("d", 2, "lost", None, 19.0, 5.0, 25.0, 11.0, "A")]
+def header_line_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers found again, in capitals, among the lines of their page, and the size of these lines."""
+    toc = table(spark, sf_dir, "toc").where("title is not null").withColumn("page", F.floor(F.col("pos") / 5).cast("int"))
+    headers = toc.select("doc_id", F.col("pos").alias("block_idx"), "page", F.col("title").alias("text"))
+    lines = toc.select("doc_id", "page", F.upper("title").alias("text"), (10.0 + F.pmod("pos", F.lit(4))).alias("font_size"))
+    return structure.header_font_sizes(headers, lines).select("doc_id", "block_idx", "font_size")
 
 
-def _values(rows: list[tuple]) -> str:
-    def lit(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, str):
-            return "'" + v + "'"
-        if isinstance(v, list):
-            return "[" + ", ".join(map(lit, v)) + "]::VARCHAR[]"
-        return repr(v)
-
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+def _numbered(spark: SparkSession, sf_dir: str, kind: str, name: str) -> DataFrame:
+    """Chunks of one type, numbered within their file in the order of their ids."""
+    rows = index(spark, sf_dir, "type", "filename").where(F.col("type") == kind)
+    n = F.row_number().over(Window.partitionBy("filename").orderBy("chunk_id")) - 1
+    return rows.select(F.col("filename").alias("doc_id"), n.alias(name), "chunk_id")
 
 
 def caption_join_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    caps = spark.createDataFrame(_CAPTION_ROWS, "doc_id string, caption_idx int, parent_ref string, text string")
-    return structure.table_captions(spark.createDataFrame(_TABLE_ROWS, "doc_id string, table_idx int"), structure.routed_captions(caps)[0])
+    """Tables of the files with their first caption; the titles of the files are the captions, some of them of pictures."""
+    i = F.col("pos")
+    ref = F.when(i % 4 == 3, F.concat(F.lit("#/pictures/"), (i % 5).cast("string"))).otherwise(F.concat(F.lit("#/tables/"), (i % 7).cast("string")))
+    captions = table(spark, sf_dir, "toc").select("doc_id", i.alias("caption_idx"), ref.alias("parent_ref"), F.col("title").alias("text"))
+    return structure.table_captions(_numbered(spark, sf_dir, "table", "table_idx"), structure.routed_captions(captions)[0]).select("chunk_id", "table_idx", "caption")
 
 
 def caption_join_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame(_TEXT_ROWS, "doc_id string, self_ref string, text string")
-    return structure.image_captions(spark.createDataFrame(_IMAGE_ROWS, "doc_id string, image_idx int, children array<string>"), texts)
+    """Images of the files with the texts they refer to: titles of the file, two for each image."""
+    images = _numbered(spark, sf_dir, "image", "image_idx")
+    child = [F.concat(F.lit("#/texts/"), (F.col("image_idx") + k).cast("string")) for k in (0, 3)]
+    texts = table(spark, sf_dir, "toc").where("title is not null").select("doc_id", F.concat(F.lit("#/texts/"), F.col("pos").cast("string")).alias("self_ref"), F.col("title").alias("text"))
+    return structure.image_captions(images.withColumn("children", F.array(*child)), texts).select("chunk_id", "image_idx", "caption")
 
 
 def line_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame(_WORD_ROWS, "doc_id string, page int, text string, top double, bottom double, x0 double, x1 double, size double, fontname string")
-    return structure.lines_of_words(words)
+    """Words of all documents, laid out eight a line and five lines a page, back to lines."""
+    words = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("i", "text"))
+    i, size = F.col("i"), F.length("text")
+    top = F.floor(i % 40 / 8) * 12.0 + F.pmod(i, F.lit(3)) * 0.01
+    laid = words.select(
+        "doc_id", F.floor(i / 40).cast("int").alias("page"), "text", top.alias("top"), (top + 10).alias("bottom"), (700.0 - F.pmod(i, F.lit(8)) * 80).alias("x0"), (770.0 - F.pmod(i, F.lit(8)) * 80).alias("x1"),
+        (9.0 + F.pmod(size, F.lit(3))).alias("size"), F.when(size % 2 == 0, "A").otherwise("B").alias("fontname"),
+    )
+    lines = structure.lines_of_words(laid)
+    return lines.select("doc_id", "page", "line_top", F.md5("text").alias("text_md5"), "font_size", "fontname", "x0", "x1", "top", "bottom")
 
 
 def label_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,8 +270,11 @@ def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index(spark, sf_dir, "type", "page_content", "source")
-    html = render.document_html(F.coalesce("type", F.lit("")), F.coalesce("page_content", F.lit("")), F.coalesce("source", F.lit("")), F.pmod("load_seq", F.lit(100)) / 100.0)
+    rows = index(spark, sf_dir, "type", "page_content", "source", "filename", "page_numbers")
+    empty = F.lit("")
+    source = F.coalesce("source", empty)
+    image = F.regexp_replace(F.base64(F.encode(source, "UTF-8")), "[\r\n]", "")
+    html = render.document_html(F.coalesce("type", empty), F.coalesce("page_content", empty), source, F.pmod("load_seq", F.lit(100)) / 100.0, F.pmod("load_seq", F.lit(10)) + 1, F.coalesce("filename", empty), F.coalesce("page_numbers", empty), image, F.col("chunk_id"))
     return rows.select("chunk_id", F.md5(html).alias("html_md5"))
 
 
@@ -285,24 +297,33 @@ def data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", F.md5(F.regexp_replace(uri, "[\r\n]", "")).alias("uri_md5"), F.md5(render.data_uri_bytes(uri)).alias("back_md5"))
 
 
-_LOG = ["Starting ingest", "Converting book.pdf", "Found 3 tables", "Chunking done", "Embedding batch 4", "nothing", "Ingest completed", "Index failed"]
-_SSE = ['data: {"choices":[{"delta":{"content":"Hel"}}]}', 'data: {"choices":[{"message":{"content":"lo"}}]}', 'data: {"text":"x"}', "data: [DONE]", ": ping", 'data: {"other":1}']
-
-
 def log_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(_LOG)], "n int, line string")
-    return rows.select("n", render.progress(F.col("line")).alias("percent"))
+    """Progress by the log lines of an ingest of the manifest's files: one of nine kinds of line each."""
+    k = F.pmod(F.length("path") + F.ascii(F.substring("sha256", 1, 1)), F.lit(9))
+    heads = ["Saving uploaded ZIP ", "Extracting into ", "Processing file ", "Converting ", "Creating chunks of ", "Embedding ", "Inserted ", "Finished with exit code 0: ", "Waiting for "]
+    lines = table(spark, sf_dir, "manifest").where("path is not null and sha256 is not null").select("path", F.concat(F.element_at(F.array(*map(F.lit, heads)), (k + 1).cast("int")), F.col("path")).alias("line")).distinct()
+    return lines.select("path", "line", render.progress(F.col("line")).alias("percent"))
 
 
 def sse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(_SSE)], "n int, line string")
-    return rows.select("n", render.sse_text(F.col("line")).alias("text"))
+    """Texts of event lines that carry the evaluation items, in eight shapes."""
+    q = F.coalesce("question", F.lit(""))
+    k = F.pmod("item_id", F.lit(8))
+    js = lambda *fields: F.to_json(F.struct(*fields))
+    choice = lambda c: js(F.array(c).alias("choices"))
+    body = (
+        F.when(k == 0, choice(F.struct(F.struct(q.alias("content")).alias("delta")))).when(k == 1, choice(F.struct(q.alias("text")))).when(k == 2, js(F.lit(3).alias("n"), q.alias("text")))
+        .when(k == 3, js(F.lit(3).alias("n"), F.lit(" ").alias("a"), q.alias("b"), F.lit("later").alias("c"))).when(k == 4, F.lit("[DONE]")).when(k == 5, F.concat(F.lit("plain "), q))
+        .when(k == 6, choice(F.struct(F.struct(F.lit("assistant").alias("role")).alias("delta"))))
+    )
+    line = F.when(k == 7, F.concat(F.lit(": "), q)).otherwise(F.concat(F.lit("data: "), body))
+    return table(spark, sf_dir, "eval_items").select("item_id", render.sse_text(line).alias("text"))
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth of replies."""
-    rows = spark.createDataFrame([(0, " YES."), (1, "no"), (2, "Well, yes"), (3, ""), (4, "NO\nyes")], "n int, reply string")
-    return rows.select("n", render.says_yes(F.col("reply")).alias("keep"))
+    """Truth of replies that repeat the evaluation items behind one of four heads."""
+    head = F.element_at(F.array(*map(F.lit, [" YES. ", "no, ", "Well, yes: ", ""])), (F.pmod("item_id", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf_dir, "eval_items").select("item_id", render.says_yes(F.concat(head, F.coalesce("question", F.lit("")))).alias("keep"))
 
 
 _UUID_SQL = "substr({h},1,8)||'-'||substr({h},9,4)||'-5'||substr({h},14,3)||'-'||substr('89ab', (strpos('0123456789abcdef', substr({h},17,1)) - 1) % 4 + 1, 1)||substr({h},18,3)||'-'||substr({h},21,12)"
@@ -394,22 +415,28 @@ QUERIES = {
     "dropped_labels": (dropped_labels, f"WITH {_BLOCKS_SQL} SELECT label, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM blocks WHERE label NOT IN ('page_header', 'page_footer', 'caption', 'reference', 'footnote') GROUP BY label"),
     "header_marks": (header_marks, "SELECT doc_id, pos, repeat('#', coalesce(level, 0)) || ' ' || coalesce(title, '') AS m, coalesce(level, 0)::INT AS marks, trim(coalesce(title, ''), ' ') AS title FROM toc"),
     "toc_fuzzy_levels": (toc_fuzzy_levels, None),
+    "header_line_sizes": (
+        header_line_sizes,
+        """WITH t AS (SELECT doc_id, pos, title, (pos // 5)::INT AS page, 10.0::DOUBLE + pos % 4 AS size FROM toc WHERE title IS NOT NULL)
+        SELECT h.doc_id, h.pos AS block_idx, round(avg(l.size), 2) AS font_size FROM t h JOIN t l ON h.doc_id = l.doc_id AND h.page = l.page WHERE contains(lower(h.title), lower(l.title)) OR contains(lower(l.title), lower(h.title)) GROUP BY h.doc_id, h.pos, h.page, h.title""",
+    ),
     "caption_join_tables": (
         caption_join_tables,
-        f"""WITH c(doc_id, i, ref, text) AS (VALUES {_values(_CAPTION_ROWS)}), t(doc_id, table_idx) AS (VALUES {_values(_TABLE_ROWS)}), f AS (SELECT doc_id, ref, min_by(text, i) AS caption FROM c WHERE contains(ref, 'tables') GROUP BY ALL)
-        SELECT t.doc_id, table_idx, caption FROM t LEFT JOIN f ON t.doc_id = f.doc_id AND ref = '#/tables/' || table_idx""",
+        f"""WITH {INDEX_SQL}, t AS (SELECT filename, chunk_id, row_number() OVER (PARTITION BY filename ORDER BY chunk_id) - 1 AS n FROM idx WHERE type = 'table'), c AS (SELECT doc_id, pos % 7 AS n, arg_min(title, pos) FILTER (title IS NOT NULL) AS any_title, min(pos) AS first FROM toc WHERE pos % 4 <> 3 GROUP BY ALL)
+        SELECT chunk_id, t.n::INT AS table_idx, title AS caption FROM t LEFT JOIN c ON t.filename = c.doc_id AND t.n = c.n LEFT JOIN toc ON toc.doc_id = c.doc_id AND toc.pos = c.first""",
     ),
     "caption_join_images": (
         caption_join_images,
-        f"""WITH i(doc_id, image_idx, ch) AS (VALUES {_values(_IMAGE_ROWS)}), t(doc_id, ref, text) AS (VALUES {_values(_TEXT_ROWS)}), e AS (SELECT doc_id, image_idx, unnest(ch) AS ref, unnest(range(len(ch))) AS pos FROM i),
-        a AS (SELECT e.doc_id, image_idx, string_agg(text, ' ' ORDER BY pos) || ' ' AS caption FROM e JOIN t ON e.doc_id = t.doc_id AND e.ref = t.ref GROUP BY ALL) SELECT i.doc_id, i.image_idx, coalesce(caption, '') AS caption FROM i LEFT JOIN a ON i.doc_id = a.doc_id AND i.image_idx = a.image_idx""",
+        f"""WITH {INDEX_SQL}, i AS (SELECT filename, chunk_id, row_number() OVER (PARTITION BY filename ORDER BY chunk_id) - 1 AS n FROM idx WHERE type = 'image')
+        SELECT chunk_id, n::INT AS image_idx, coalesce(string_agg(title, ' ' ORDER BY pos) || ' ', '') AS caption FROM i LEFT JOIN toc ON toc.doc_id = i.filename AND toc.pos IN (i.n, i.n + 3) AND title IS NOT NULL GROUP BY chunk_id, n""",
     ),
     "line_assembly": (
         line_assembly,
-        f"""WITH w(doc_id, page, text, top, bottom, x0, x1, size, fontname) AS (VALUES {_values(_WORD_ROWS)}), v AS (SELECT *, round(top::DOUBLE, 1) AS line_top FROM w WHERE top IS NOT NULL),
-        f AS (SELECT doc_id, page, line_top, size, count(*) AS n, min(x0) AS p FROM v GROUP BY ALL), g AS (SELECT doc_id, page, line_top, fontname, count(*) AS n, min(x0) AS p FROM v GROUP BY ALL),
-        l AS (SELECT doc_id, page, line_top, string_agg(text, ' ' ORDER BY x0) AS text, min(x0)::DOUBLE AS x0, max(x1)::DOUBLE AS x1, min(top)::DOUBLE AS top, max(bottom)::DOUBLE AS bottom FROM v GROUP BY ALL)
-        SELECT l.*, (SELECT size FROM f WHERE f.page = l.page AND f.line_top = l.line_top ORDER BY n DESC, p LIMIT 1)::DOUBLE AS font_size, (SELECT fontname FROM g WHERE g.page = l.page AND g.line_top = l.line_top ORDER BY n DESC, p LIMIT 1) AS fontname FROM l""",
+        r"""WITH s AS (SELECT doc_id::VARCHAR AS doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ') AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(t) AS text, unnest(range(len(t))) AS i FROM s),
+        v AS (SELECT doc_id, (i // 40)::INT AS page, text, (i % 40 // 8) * 12.0::DOUBLE AS line_top, (i % 40 // 8) * 12.0::DOUBLE + (i % 3) * 0.01::DOUBLE AS top, 700.0::DOUBLE - i % 8 * 80 AS x0, 9.0::DOUBLE + length(text) % 3 AS size, CASE WHEN length(text) % 2 = 0 THEN 'A' ELSE 'B' END AS font FROM w),
+        f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_top ORDER BY n DESC, p) AS r FROM (SELECT doc_id, page, line_top, size, count(*) AS n, min(x0) AS p FROM v GROUP BY ALL)), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line_top ORDER BY n DESC, p) AS r FROM (SELECT doc_id, page, line_top, font, count(*) AS n, min(x0) AS p FROM v GROUP BY ALL)),
+        l AS (SELECT doc_id, page, line_top, md5(string_agg(text, ' ' ORDER BY x0)) AS text_md5, min(x0) AS x0, max(x0) + 70 AS x1, min(top) AS top, max(top) + 10 AS bottom FROM v GROUP BY ALL)
+        SELECT l.*, size AS font_size, font AS fontname FROM l JOIN f USING (doc_id, page, line_top) JOIN g USING (doc_id, page, line_top) WHERE f.r = 1 AND g.r = 1""",
     ),
     "label_wrap": (label_wrap, f"WITH {_BLOCKS_SQL} SELECT doc_id, block_idx::INT AS block_idx, md5(CASE label WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' WHEN 'formula' THEN '$' || text || '$' ELSE text END || ' ') AS wrapped_md5 FROM blocks"),
     "metadata_filters": (
@@ -419,8 +446,11 @@ QUERIES = {
     "label_values": (label_values, f"WITH {INDEX_SQL} SELECT lower(trim(coalesce(subject, ''), ' ')) AS subject, lower(trim(coalesce(class_level, ''), ' ')) AS class_level, count(*) AS n FROM idx GROUP BY 1, 2"),
     "document_html": (
         document_html,
-        f"""WITH {INDEX_SQL}, h AS (SELECT chunk_id, load_seq, coalesce(type, '') AS t, replace(coalesce(page_content, ''), chr(10), '<br>') AS c, coalesce(source, '') AS s, replace(replace(replace(coalesce(source, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e, replace(replace(replace(coalesce(page_content, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS u FROM idx)
-        SELECT chunk_id, md5(CASE t WHEN 'text' THEN c WHEN 'table' THEN c || '<br>' || CASE WHEN starts_with(ltrim(s, ' '), '<table') THEN '<div class=''table-box''>' || s || '</div>' ELSE '<pre>' || e || '</pre>' END WHEN 'image' THEN '<img src=''' || s || '''/><br>' || c ELSE '<i>unknown type</i> ' || u END || '<br><small>score ' || printf('%.4f', (load_seq % 100) / 100.0::DOUBLE) || '</small>') AS html_md5 FROM h""",
+        f"""WITH {INDEX_SQL}, h AS (SELECT chunk_id, load_seq, coalesce(type, '') AS t, coalesce(page_content, '') AS c, coalesce(source, '') AS s, coalesce(filename, '') AS f, coalesce(page_numbers, '') AS p FROM idx)
+        SELECT chunk_id, md5('<h4>Document ' || (load_seq % 10 + 1) || ' (Score: ' || printf('%.4f', (load_seq % 100) / 100.0::DOUBLE) || '), (Doc: ' || f || ', Page: ' || p || ')</h4>' || CASE
+        WHEN t = 'text' THEN '{render.TEXT_BOX}' || replace(c, chr(10), '<br>') || '</div>'
+        WHEN t = 'table' AND s <> '' THEN '{render.TABLE_BOX}' || CASE WHEN lower(trim(s, ' ')) LIKE '<table%' THEN s ELSE '{render.TABLE_FRAME.replace("'", "''")}' || replace(replace(s, '<', '&lt;'), '>', '&gt;') || '</pre>' END || '<br><p><strong>Table Summary:</strong> ' || c || '</p></div>'
+        WHEN t = 'image' THEN '{render.IMAGE_BOX}<img src="data:image/jpeg;base64,' || to_base64(encode(s)) || '" alt="Image ' || chunk_id || '" {render.IMAGE_STYLE} /><p><strong>Image Summary:</strong> ' || c || '</p></div>' ELSE '' END) AS html_md5 FROM h""",
     ),
     "table_text": (
         table_text,
@@ -432,7 +462,12 @@ QUERIES = {
         r"""SELECT DISTINCT path, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[^.]*$', '') AS stem, regexp_replace(path, '\.[^./]*$', '') || '.json' AS target, CASE WHEN len(string_split(path, '/')) >= 2 THEN string_split(path, '/')[-2] END AS folder FROM manifest WHERE path IS NOT NULL""",
     ),
     "data_uris": (data_uris, f"WITH {INDEX_SQL} SELECT chunk_id, md5('data:image/png;base64,' || to_base64(encode(page_content))) AS uri_md5, md5(page_content) AS back_md5 FROM idx WHERE type = 'image' AND page_content IS NOT NULL"),
-    "log_progress": (log_progress, "SELECT n::INT AS n, p::INT AS percent FROM (VALUES (0, 5), (1, 20), (2, 35), (3, 60), (4, 75), (5, NULL), (6, 100), (7, 100)) t(n, p)"),
-    "sse_text": (sse_text, "SELECT n::INT AS n, t AS text FROM (VALUES (0, 'Hel'), (1, 'lo'), (2, 'x'), (3, NULL), (4, NULL), (5, NULL)) v(n, t)"),
-    "replies": (replies, "SELECT n::INT AS n, k AS keep FROM (VALUES (0, true), (1, false), (2, true), (3, false), (4, true)) v(n, k)"),
+    "log_progress": (
+        log_progress,
+        """WITH k AS (SELECT DISTINCT path, (length(path) + ascii(sha256[1])) % 9 AS k FROM manifest WHERE path IS NOT NULL AND sha256 IS NOT NULL), l AS (SELECT path, ['Saving uploaded ZIP ', 'Extracting into ', 'Processing file ', 'Converting ', 'Creating chunks of ', 'Embedding ', 'Inserted ', 'Finished with exit code 0: ', 'Waiting for '][k + 1] || path AS line FROM k),
+        w AS (SELECT * FROM (VALUES (1, 'saving uploaded zip', 5), (2, 'extracting into', 10), (3, 'processing file', 30), (4, 'converting', 30), (5, 'creating chunks', 55), (6, 'embedding', 75), (7, 'insert', 90), (8, 'finished with exit code 0', 100)) v(n, words, p))
+        SELECT path, line, coalesce(arg_min(p, n), 15)::INT AS percent FROM l LEFT JOIN w ON contains(lower(line), words) GROUP BY path, line""",
+    ),
+    "sse_text": (sse_text, "SELECT item_id, nullif(CASE WHEN item_id % 8 IN (0, 1, 2, 3) THEN CASE WHEN item_id % 8 = 3 AND trim(coalesce(question, '')) = '' THEN 'later' ELSE question END WHEN item_id % 8 = 5 THEN trim('plain ' || coalesce(question, '')) END, '') AS text FROM eval_items"),
+    "replies": (replies, "SELECT item_id, item_id % 4 IN (0, 2) OR contains(lower(coalesce(question, '')), 'yes') AS keep FROM eval_items"),
 }

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..streaming import flows
 from .common import table
-from .lineage import shared_folder
+from .lineage import scratch
 
 _M = "m AS (SELECT * FROM usage_metrics QUALIFY row_number() OVER (PARTITION BY metric_id ORDER BY scraped_at DESC) = 1)"
 _GOOD = "value IS NOT NULL AND NOT isnan(value)"
@@ -55,21 +53,17 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows as a stream over the files; the watermark is wide enough for all late rows, so that the result is
     that of the batch."""
     live = flows.live_latency(_stream(spark, sf_dir, "usage_metrics"), "3650 days", "5 minutes", "5 minutes")
-    path = _scratch(spark)
+    path = scratch(spark, "stream")
     return flows.run_to_table(live, f"{path}/windows", f"{path}/state")
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks taken up as a stream and upserted into a table, counted by file."""
-    path = _scratch(spark)
+    path = scratch(spark, "stream")
     schema = table(spark, sf_dir, "chunks").schema
     q = flows.ingest_stream(spark, f"{sf_dir}/chunks.parquet*", schema, f"{path}/index", f"{path}/state", "chunk_id", "load_seq")
     q.awaitTermination()
@@ -77,8 +71,10 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation items for all providers."""
-    return flows.provider_of(table(spark, sf_dir, "eval_items").select("item_id"), ["small", "large"], "all", "item_id")
+    """Evaluation items in turn for two providers, the first twice as often, and once more for both."""
+    items = table(spark, sf_dir, "eval_items").select("item_id")
+    turns = flows.provider_of(items, ["small", "large"], "round_robin", "item_id", [2, 1]).withColumn("strategy", F.lit("round_robin"))
+    return turns.unionByName(flows.provider_of(items, ["small", "large"], "all", "item_id").withColumn("strategy", F.lit("all")))
 
 
 def _window_sql(slide: int, name: str = "m") -> str:
@@ -102,5 +98,5 @@ QUERIES = {
     "latency_sliding": (latency_sliding, f"WITH {_M} {_window_sql(1)}"),
     "stream_latency": (stream_latency, f"WITH m AS (SELECT DISTINCT ON (metric_id, ts) * FROM usage_metrics) {_window_sql(5)}"),
     "stream_upsert": (stream_upsert, "SELECT filename, count(DISTINCT chunk_id) AS n, count(DISTINCT chunk_id) AS n_ids FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY load_seq DESC) = 1) GROUP BY filename"),
-    "round_robin": (round_robin, "SELECT item_id, provider FROM eval_items, (VALUES ('small'), ('large')) p(provider)"),
+    "round_robin": (round_robin, "SELECT item_id, CASE item_id % 3 WHEN 2 THEN 'large' ELSE 'small' END AS provider, 'round_robin' AS strategy FROM eval_items UNION ALL SELECT item_id, provider, 'all' FROM eval_items, (VALUES ('small'), ('large')) p(provider)"),
 }

@@ -46,12 +46,17 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def provider_of(rows: DataFrame, providers: list[str], strategy: str = "round_robin", order: str = "chunk_id") -> DataFrame:
-    """Adds the provider that serves a row: the first (default), in turn by hash of the row (round_robin), or one row for
-    each (all)."""
+def provider_of(rows: DataFrame, providers: list[str], strategy: str = "round_robin", order: str = "chunk_id", weights: list[int] | None = None) -> DataFrame:
+    """Adds the provider that serves a row: the first (default), in turn (round_robin), or one row for each (all).
+
+    Turns go by the number *order*, each provider as often as its weight (1 without any), so no global order is needed.
+    """
     names = F.array(*map(F.lit, providers))
     if strategy == "all":
         return rows.withColumn("provider", F.explode(names))
     if strategy == "round_robin":
-        return rows.withColumn("provider", F.element_at(names, (F.pmod(F.xxhash64(order), F.lit(len(providers))) + 1).cast("int")))
+        turns = F.array(*[F.lit(p) for p, w in zip(providers, weights or [1] * len(providers)) for _ in range(w)])
+        return rows.withColumn("provider", F.element_at(turns, (F.pmod(F.col(order), F.size(turns)) + 1).cast("int")))
+    if strategy != "default":
+        raise ValueError("provider strategy must be one of default, round_robin, all")
     return rows.withColumn("provider", F.lit(providers[0]))
