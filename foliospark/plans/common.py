@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.selection import last_wins
+from ..operators.sparse import SparseIndex, save_index, tokenized
+from .lineage import scratch
 
 #: The index: of every chunk its last delivery.
 INDEX_SQL = "idx AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY load_seq DESC) = 1)"
@@ -31,3 +33,18 @@ def question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def sparse_index(spark: SparkSession, sf_dir: str) -> SparseIndex:
+    """The stored sparse index of the chunks: fitted once a session, and again when the file has changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/chunks.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getLen(), status.getModificationTime())
+    if key not in _STORED:
+        target = scratch(spark, "sparse")
+        save_index(tokenized(index(spark, sf_dir, "page_content"), "chunk_id", "page_content"), target)
+        _STORED[key] = target
+    return SparseIndex.load(spark, _STORED[key])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from ..sources.sinks import read_table
 from ..streaming import flows
 from .common import table
 from .lineage import scratch
@@ -67,7 +68,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "chunks").schema
     q = flows.ingest_stream(spark, f"{sf_dir}/chunks.parquet*", schema, f"{path}/index", f"{path}/state", "chunk_id", "load_seq")
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/index").groupBy("filename").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("n_ids"))
+    return read_table(spark, f"{path}/index").groupBy("filename").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("n_ids"))
 
 
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:

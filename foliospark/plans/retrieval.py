@@ -10,7 +10,7 @@ from ..functions.models import embed_udf
 from ..functions.text import count_tokens, language_tokens_udf, whitespace_tokens, word_tokens
 from ..operators import dense, hybrid, sparse
 from ..operators.selection import exact_filter, loose_filter
-from .common import INDEX_SQL, K, QUESTION_SQL, TOKENS_SQL, index, query_vector, question, table
+from .common import INDEX_SQL, K, QUESTION_SQL, TOKENS_SQL, index, query_vector, question, sparse_index, table
 
 FILTERS = {"language": "English", "subject": "Physics", "class_level": ""}
 PROMPT = "Answer from the text.\n\n{context}\n\nQuestion: {question}\nAnswer:"
@@ -83,12 +83,12 @@ def _stable(scores: DataFrame) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = sparse.top_k(_stable(sparse.tfidf_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K)
+    best = sparse.top_k(_stable(sparse.indexed_tfidf(sparse_index(spark, sf_dir), _query_tokens(spark, sf_dir))), K)
     return best.where(F.col("place") <= K).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "place")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = sparse.top_k(_stable(sparse.bm25_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K)
+    best = sparse.top_k(_stable(sparse.indexed_bm25(sparse_index(spark, sf_dir), _query_tokens(spark, sf_dir))), K)
     return best.where(F.col("place") <= K).select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "place")
 
 
@@ -103,7 +103,7 @@ def bm25_language_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sparse_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter meets the first 3k of the ranking only, without regard to case; fewer than k can be left."""
-    best = sparse.top_k(_stable(sparse.bm25_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K)
+    best = sparse.top_k(_stable(sparse.indexed_bm25(sparse_index(spark, sf_dir), _query_tokens(spark, sf_dir))), K)
     rows = index(spark, sf_dir, "language", "subject").withColumnRenamed("chunk_id", "id")
     left = sparse.after_filter(rows.join(F.broadcast(best), "id"), loose_filter({"language": "english"}), K)
     return left.select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "place", "language")
@@ -112,7 +112,7 @@ def sparse_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = dense.top_k(index(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), K)
     near = near.select(F.col("chunk_id").alias("id"), F.row_number().over(Window.orderBy("distance", "chunk_id")).alias("place"))
-    words = sparse.top_k(_stable(sparse.tfidf_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K).select("id", "place")
+    words = sparse.top_k(_stable(sparse.indexed_tfidf(sparse_index(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K).select("id", "place")
     return hybrid.fused(near, words, K)
 
 
@@ -138,7 +138,7 @@ def hit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_topr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best of the BM25 candidates by the stand-in reranker: share of the question's words they have."""
-    best = sparse.top_k(_stable(sparse.bm25_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K)
+    best = sparse.top_k(_stable(sparse.indexed_bm25(sparse_index(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K)
     rows = index(spark, sf_dir, "page_content").withColumnRenamed("chunk_id", "id").join(F.broadcast(best), "id").crossJoin(F.broadcast(question(spark, sf_dir)))
     top = hybrid.reranked(rows, F.col("question"), "page_content", 3)
     return top.select(F.col("id").alias("chunk_id"), F.round("rerank_score", 6).alias("rerank_score"))
@@ -152,7 +152,7 @@ def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = question(spark, sf_dir)
     near = dense.top_k(vectors, q.select(embed(F.col("question")).alias("q")), K)
     near = near.select(F.col("chunk_id").alias("id"), F.row_number().over(Window.orderBy("distance", "chunk_id")).alias("place"))
-    words = sparse.top_k(_stable(sparse.bm25_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K).select("id", "place")
+    words = sparse.top_k(_stable(sparse.indexed_bm25(sparse_index(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K).select("id", "place")
     found = hybrid.fused(near, words, K).drop("place")
     texts = rows.select(F.col("chunk_id").alias("id"), "page_content").join(F.broadcast(found), "id").crossJoin(F.broadcast(q))
     top = hybrid.cut_below(hybrid.reranked(texts, F.col("question"), "page_content", 3), "rerank_score", 0.05)
@@ -161,7 +161,7 @@ def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context of the question: the texts of its ten best chunks, cut to what the prompt leaves."""
-    best = sparse.top_k(_stable(sparse.bm25_scores(_docs(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K)
+    best = sparse.top_k(_stable(sparse.indexed_bm25(sparse_index(spark, sf_dir), _query_tokens(spark, sf_dir))), K).where(F.col("place") <= K)
     rows = index(spark, sf_dir, "page_content").withColumnRenamed("chunk_id", "id").join(F.broadcast(best), "id").where("page_content is not null")
     packed = rows.agg(F.array_sort(F.collect_list(F.struct("place", "page_content"))).alias("c"))  # at most K rows
     q = question(spark, sf_dir).select(count_tokens(F.col("question")).alias("qt"))

@@ -69,7 +69,7 @@ def test_upsert_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "c")], "chunk_id long, load_seq long, v string")
     for _ in range(2):
         sinks.upsert_table(rows, path, "chunk_id", "load_seq")
-        assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 2, "b"), (2, 3, "c")]
+        assert sorted(tuple(r) for r in sinks.read_table(spark, path).collect()) == [(1, 2, "b"), (2, 3, "c")]
     sinks.upsert_table(spark.createDataFrame([(2, 9, "d")], rows.schema), path, "chunk_id", "load_seq")
     assert sorted(r["v"] for r in sinks.read_table(spark, path).collect()) == ["b", "d"]
     sinks.reset(spark, path)
@@ -236,3 +236,46 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "id long, tokens array<string>")
     one = spark.createDataFrame([(["a"],)], "tokens array<string>")
     assert sparse.tfidf_scores(docs, one).count() == 0 and sparse.bm25_scores(docs, one).count() == 0
+
+
+def test_stored_index_scores_as_the_fit(spark, tmp_path):
+    rows = [(1, ["aa", "bb", "bb"]), (2, ["cc", "aa"]), (3, []), (4, ["dd", "bb", "aa", "aa"]), (5, ["aa"])]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    sparse.save_index(docs, str(tmp_path / "ix"))
+    index = sparse.SparseIndex.load(spark, str(tmp_path / "ix"))
+    for tokens in (["bb", "cc", "bb", "zz"], ["aa"], ["zz"], []):
+        q = spark.createDataFrame([(tokens,)], "tokens array<string>")
+        for fit, stored in ((sparse.tfidf_scores, sparse.indexed_tfidf), (sparse.bm25_scores, sparse.indexed_bm25)):
+            a, b = ({r["id"]: round(r["score"], 9) for r in x.collect()} for x in (fit(docs, q), stored(index, q)))
+            assert a == b and len(a) == 5
+    plan = sparse.indexed_bm25(index, spark.createDataFrame([(["aa"],)], "tokens array<string>"))._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,aa)" in plan
+
+
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(200).selectExpr("id AS chunk_id", "id AS load_seq", "cast(id as string) AS v")
+    sinks.upsert_table(rows, path, "chunk_id", "load_seq", 8)
+    first = sinks._folders(spark, path, 1)
+    sinks.upsert_table(spark.createDataFrame([(7, 900, "new")], rows.schema), path, "chunk_id", "load_seq", 8)
+    second = sinks._folders(spark, path, 2)
+    assert len(first) == 8 and sum(first[b] != second[b] for b in first) == 1
+    got = {r["chunk_id"]: r["v"] for r in sinks.read_table(spark, path).collect()}
+    assert len(got) == 200 and got[7] == "new" and got[8] == "8"
+    with pytest.raises(RuntimeError):
+        sinks._commit(spark, path, 2, {})
+
+
+def test_titles_match_without_regard_to_case(spark):
+    headers = spark.createDataFrame([("d", 1, 0, "INTRODUCTION TO OPTICS"), ("d", 2, 0, "Nothing alike")], "doc_id string, block_idx int, page int, text string")
+    toc = spark.createDataFrame([("d", 0, "Introduction to Optics", 2), ("d", 1, None, 1)], "doc_id string, pos int, title string, level int")
+    assert {r["block_idx"]: r["level"] for r in structure.toc_matches(headers, toc).collect()} == {1: 2, 2: None}
+    lines = spark.createDataFrame([("d", 0, "introduction to optics", 14.0), ("d", 0, "another line", 9.0)], "doc_id string, page int, text string, font_size double")
+    assert [(r["block_idx"], r["font_size"]) for r in structure.header_font_sizes(headers, lines).collect()] == [(1, 14.0)]
+
+
+def test_event_lines(spark):
+    lines = ['data: {"choices":[{"delta":{"content":"Hel"}}]}', 'data: {"choices":[{"text":"lo"}]}', 'data: {"text":"x"}', "data: [DONE]", ": ping", 'data: {"n":1,"a":" ","b":"first","c":"second"}', "data: plain", 'data: "quoted"', 'data: {"choices":[{"delta":{"role":"a"}}]}', 'data: {"n":1}', 'data: {"choices":[],"b":"y"}', None, ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = {r["i"]: r["t"] for r in df.select("i", render.sse_text(F.col("line")).alias("t")).collect()}
+    assert [got[i] for i in range(len(lines))] == ["Hel", "lo", "x", None, None, "first", "plain", "quoted", None, None, "y", None, None]
