@@ -59,5 +59,11 @@ def kept(rows: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(flags.where("keep").select(*keys), keys, "left_semi")
 
 
+def joined_outputs(texts: DataFrame, tables: DataFrame, images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The three outputs of every document side by side, joined by document (not by position, which shifts where one
+    is missing); documents without all three drop out."""
+    return texts.join(tables, key).join(images, key)
+
+
 def non_empty(params: dict) -> dict:
     return {k: v for k, v in params.items() if v not in (None, "", [], {})}

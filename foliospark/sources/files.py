@@ -76,6 +76,35 @@ def parsed(files: DataFrame, parser: Callable[[bytes], list[dict]], schema: T.St
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def converted_in_ranges(ranges: list[tuple[int, int]], submit: Callable[[int, int], str], poll: Callable[[str], dict | None], wait: float = 300.0, delay: float = 2.0, tries: int = 3, parallel: int = 8) -> list[dict]:
+    """Converted page ranges of one document, in page order, for use as a parser with ``parsed``.
+
+    Every range is submitted (tried again with doubled pauses on failure) and its task polled until there is a result;
+    after *wait* seconds it is a TimeoutError.  At most *parallel* ranges are under way at once.
+    """
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(span: tuple[int, int]) -> dict:
+        for n in range(1, tries + 1):
+            try:
+                task = submit(*span)
+                break
+            except Exception:
+                if n == tries:
+                    raise
+                time.sleep(delay * 2 ** (n - 1))
+        begin = time.monotonic()
+        while (got := poll(task)) is None:
+            if time.monotonic() - begin > wait:
+                raise TimeoutError(f"conversion task {task} took more than {wait} s")
+            time.sleep(delay)
+        return got
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return list(pool.map(one, sorted(ranges)))  # map keeps the order of the pages
+
+
 def converted_texts(converted: DataFrame) -> DataFrame:
     """Blocks of converted documents (doc_id, texts): label, text, first page and parent reference, in list order."""
     b = converted.select("doc_id", F.posexplode("texts").alias("block_idx", "t"))

@@ -279,3 +279,55 @@ def test_event_lines(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
     got = {r["i"]: r["t"] for r in df.select("i", render.sse_text(F.col("line")).alias("t")).collect()}
     assert [got[i] for i in range(len(lines))] == ["Hel", "lo", "x", None, None, "first", "plain", "quoted", None, None, "y", None, None]
+
+
+def test_service_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    from foliospark import service
+    from foliospark.__main__ import main
+    from foliospark.plans.search import Store
+
+    folder, store = tmp_path / "in" / "a", Store(str(tmp_path / "store"))
+    folder.mkdir(parents=True)
+    texts = ["The river runs past the stone bridge", "Copper is sold at the market", "Flüsse fließen im Winter", "The lens bends the light", ""]
+    (folder / "chunks.json").write_text(json.dumps([{"page_content": t, "filename": f"f{i % 2}.pdf", "type": "text", "language": "German" if "ü" in t else "English", "page_numbers": [i]} for i, t in enumerate(texts)]))
+    svc = service.Service(spark, store, lambda body: iter(["It is ", "here."]), lambda: {"data": [{"id": "m"}]}, slots=1)
+    assert svc.reference({"prompt": "river"})[1] == 503 and svc.db_status() == ({"ready": False, "message": service.NOT_INGESTED}, 200)
+    assert main(["ingest", "--path", str(tmp_path / "in"), "--store", store.path], spark) == 0
+    assert "TOTAL" in capsys.readouterr().out and svc.db_status() == ({"ready": True}, 200) and svc.health()[1] == 200
+    body, status = svc.reference({"prompt": "the stone bridge", "num_docs_reranker": 2})
+    assert status == 200 and len(body["documents"]) == 2 and body["documents"][0]["page_content"] == texts[0]
+    assert [d["language"] for d in svc.reference({"prompt": "the river in Winter", "language": "German"})[0]["documents"]] == ["German"]
+    for mode in ("dense", "sparse", "hybrid"):
+        got = store.search(spark, "copper market", mode, k=3, r=1, use_reranker=mode == "hybrid").collect()
+        assert [r["page_content"] for r in got] == [texts[1]]
+    assert store.search(spark, "copper market", threshold=0.99).count() == 1
+    assert svc.chat({"messages": []}) == ({"error": service.EMPTY_MESSAGES}, 200)
+    ask = {"messages": [{"content": "where?"}], "retrieved_documents": body["documents"]}
+    lines, status = svc.chat(ask)
+    assert svc.chat(ask)[1] == 429 and "".join(lines).count("data: ") == 3 and svc.chat(ask)[1] == 200
+    assert service.NOTHING_FOUND in next(svc.chat({"messages": [{"content": "x"}]})[0]) and svc.models()[0]["data"]
+    assert list(service.tail(iter(["a\n", "b\n"]), len)) == [("a\n", 2), ("a\nb\n", 4)]
+    assert main(["clean-db", "--store", store.path], spark) == 0 and svc.reference({"prompt": "x"})[1] == 503
+
+
+def test_conversion_in_page_order():
+    tasks, tries = {}, []
+
+    def submit(a, b):
+        tries.append(a)
+        if len(tries) == 1:
+            raise OSError
+        tasks[f"t{a}"] = [None, {"pages": (a, b)}]
+        return f"t{a}"
+
+    got = files.converted_in_ranges([(16, 30), (1, 15), (31, 40)], submit, lambda t: tasks[t].pop(0), delay=0.01)
+    assert [g["pages"] for g in got] == [(1, 15), (16, 30), (31, 40)]
+    with pytest.raises(TimeoutError):
+        files.converted_in_ranges([(1, 2)], lambda a, b: "t", lambda t: None, wait=0.02, delay=0.01)
+
+
+def test_outputs_join_by_document(spark):
+    t, b, i = (spark.createDataFrame([(d, f"{k}{d}") for d in ids], f"doc_id string, {k} string") for k, ids in (("t", "abc"), ("b", "bc"), ("i", "cab")))
+    assert sorted(map(tuple, selection.joined_outputs(t, b, i).collect())) == [("b", "tb", "bb", "ib"), ("c", "tc", "bc", "ic")]
