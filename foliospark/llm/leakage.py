@@ -8,9 +8,11 @@ meets a template is then checked slot by slot:
 * ``leaks``: the slots hold the very words of the item, so ten consecutive words of it are in the document;
 * ``reparameterised``: the slots are filled consistently (one name of the item always by one name of
   the document, and back), but with other values.  Only windows of which at least the share ``LITERAL`` are template
-  words count here: a window of placeholders alone meets any text.
+  words count here: a window of placeholders alone meets any text.  ``reparameterised_items`` has every item that
+  a document holds so, ``reparameterised`` the first item of every template.
 
-Words are longest runs of letters, combining marks and digits in lower case.
+Words are longest runs of letters, combining marks and digits in lower case; lower case is taken letter by letter, so
+neither the place of a letter in its word nor a second letter it would become hides a word.
 
 The template of an item is the sequence of its canonical words.  Which words are template words is counted over
 all items, so blocks share one vocabulary and a template is the same in each.
@@ -19,7 +21,8 @@ Items are a stated query set: they are taken in blocks of ``ITEM_BLOCK``, each b
 (at most ITEM_BLOCK x item length windows); all documents are read against each block, whole.
 
 Defined results for odd input: null, blank or too short texts and items give no rows; repeated rows and
-several occurrences of an item in a document give one row; extra columns are ignored.
+several occurrences of an item in a document give one row; an item id with several questions stands for each of them;
+documents and items without an id give rows with a null id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,15 +40,24 @@ LITERAL = 0.4  # share of a window that must be template words before it tells a
 ITEM_BLOCK = 20_000
 # Units of measure that count as slots of their own type.
 UNITS = frozenset("mm cm m km mg g kg t ml l mol pa kpa hz khz w kw v a n j kj s min h å ω µm μm °c percent prozent kelvin किग्रा ग्राम लीटर मीटर सेमी प्रतिशत 千克 克 米 厘米 毫升".split())
-_NUMBER, _UNIT, _NAME = 1, 2, 3
+_NUMBER, _UNIT, _NAME, _ELSEWHERE = 1, 2, 3, 4  # the last: a template word that no item of the block holds
 _FIRST_WORD = 16  # ids below are placeholders
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_SMALL_DIGITS = frozenset("⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉")
 
 
 def _words():
+    """Function from a text to its words in lower case."""
     import regex
 
-    return regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
+    find = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
+    # of all letters only these two do not go to one fixed letter in str.lower
+    return lambda text: find(text.replace("İ", "i").replace("Σ", "σ").lower())
+
+
+def _kind(w: str) -> int:
+    """Placeholder of a word that is no template word."""
+    return _NUMBER if not w.isalpha() and any(c.isdecimal() or c in _SMALL_DIGITS for c in w) else _UNIT if w in UNITS else _NAME
 
 
 class Templates:
@@ -54,10 +66,10 @@ class Templates:
     *common* are the template words of all items; without it they are those of the block.
     """
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, most: float = MOST, common: frozenset[str] | None = None, literal: float = LITERAL):
+    def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW, most: float = MOST, common: frozenset[str] | None = None, literal: float = LITERAL):
         find = _words()
         self.window = window
-        split = [(i, find(q.lower())) for i, q in items if q]
+        split = [(i, find(q)) for i, q in items if q]
         split = [(i, w) for i, w in split if len(w) >= window]
         df = Counter(w for _, ws in split for w in set(ws))
         if common is None:
@@ -67,7 +79,9 @@ class Templates:
         self.exact_ids: dict[str, int] = {}
         for w in sorted(df):
             self.exact_ids[w] = _FIRST_WORD + len(self.exact_ids)
-            self.kinds[w] = _NUMBER if any(c.isdigit() for c in w) else _UNIT if w in UNITS else self.exact_ids[w] if w in common else _NAME
+            self.kinds[w] = self.exact_ids[w] if w in common and _kind(w) == _NAME else _kind(w)
+        for w in common - df.keys():
+            self.kinds[w] = _ELSEWHERE if _kind(w) == _NAME else _kind(w)
         self.ids = [i for i, _ in split]
         self.words = [ws for _, ws in split]
         self.forms: list[bytes] = []
@@ -93,7 +107,7 @@ class Templates:
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Template codes and word codes; a word no item has is a number or a name to the first and 0 to the second."""
         kind, ident = self.kinds.get, self.exact_ids.get
-        t = [kind(w) or (_NUMBER if any(c.isdigit() for c in w) else _UNIT if w in UNITS else _NAME) for w in words]
+        t = [kind(w) or _kind(w) for w in words]
         return np.array(t, dtype=np.uint64), np.array([ident(w, 0) for w in words], dtype=np.uint64)
 
 
@@ -135,20 +149,29 @@ def windows(codes: np.ndarray, n: int) -> np.ndarray:
         return h
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
+def _questions(items: DataFrame) -> DataFrame:
+    return items.select("item_id", "question").where("question is not null").dropDuplicates(["item_id", "question"])
+
+
+def _in_order(rows: list) -> list[tuple[int | None, str]]:
+    """By id; items without one come last."""
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def _blocks(items: DataFrame) -> list[list[tuple[int | None, str]]]:
     """The query set in blocks of bounded size."""
-    src = items.select("item_id", "question").where("question is not null and item_id is not null").dropDuplicates(["item_id"])
+    src = _questions(items)
     n = src.count()
     parts = max(1, -(-n // ITEM_BLOCK))
     if parts == 1:
-        return [sorted((r[0], r[1]) for r in src.collect())]
-    slot = src.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.lit(parts * 2)))
-    return [sorted((r[0], r[1]) for r in slot.where(F.col("_b") == b).select("item_id", "question").collect()) for b in range(parts * 2)]
+        return [_in_order(src.collect())]
+    slot = src.withColumn("_b", F.pmod(F.xxhash64("item_id", "question"), F.lit(parts * 2)))
+    return [_in_order(slot.where(F.col("_b") == b).select("item_id", "question").collect()) for b in range(parts * 2)]
 
 
 def _template_words(items: DataFrame, window: int = WINDOW, most: float = MOST) -> frozenset[str]:
     """Words that stand in at least the share *most* of all items (three at least): no more than the words of 1 / most items."""
-    src = items.select("item_id", "question").where("question is not null and item_id is not null").dropDuplicates(["item_id"])
+    src = _questions(items)
 
     def run(batches):
         import pyarrow as pa
@@ -157,7 +180,7 @@ def _template_words(items: DataFrame, window: int = WINDOW, most: float = MOST)
         for b in batches:
             df: Counter = Counter()
             for q in b.column(1).to_pylist():
-                ws = find(q.lower())
+                ws = find(q)
                 if len(ws) >= window:
                     df.update({"", *ws})  # "" counts the items
             yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["word", "n"])
@@ -182,9 +205,9 @@ def _scan(docs: DataFrame, items: DataFrame, check, common: frozenset[str] | Non
             for b in batches:
                 ids, found, forms = [], [], []
                 for did, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if not text or did is None:
+                    if not text:
                         continue
-                    for k in check(tpl, find(text.lower())):
+                    for k in check(tpl, find(text)):
                         ids.append(did)
                         found.append(tpl.ids[k])
                         forms.append(tpl.forms[k])
@@ -260,6 +283,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return _scan(docs, items, _same_words).select("doc_id", "item_id").dropDuplicates(["doc_id", "item_id"])
 
 
+def reparameterised_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Columns doc_id, item_id: every item that a document holds with other slot values, also where it holds several of
+    one template."""
+    return _scan(docs, items, _same_template, _template_words(items)).select("doc_id", "item_id").dropDuplicates(["doc_id", "item_id"])
+
+
 def reparameterised(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Columns doc_id, item_id: one row for each document and template that it holds with other slot values;
     the item named is the first of the template's items in id order that it holds so."""

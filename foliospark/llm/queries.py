@@ -95,18 +95,24 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question with other numbers and names in its slots."""
+    """Documents that hold a question with other numbers and names in its slots: the first item of every template."""
     return leakage.reparameterised(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a question with other numbers and names in its slots: every item."""
+    return leakage.reparameterised_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.document_subjects(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "subject_areas"), _table(spark, sf_dir, "doc_labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_nearest": p1_nearest, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_containers": p8_containers, "p8_room": p8_room, "p9_found": p9_found, "p9_templates": p9_templates, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_nearest": p1_nearest, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_texts": p6_texts, "p7_found": p7_found, "p8_containers": p8_containers, "p8_room": p8_room, "p9_found": p9_found, "p9_templates": p9_templates, "p9_links": p9_links, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
     """Twins on whole tables; the other queries are tested on fixtures against brute force or held-out cases."""
-    return {"p1_found": twins.P1_FOUND, "p1_nearest": twins.P1_NEAREST, "p5_found": twins.P5_FOUND, "p9_found": twins.P9_FOUND, "p9_templates": twins.P9_TEMPLATES.replace("UNITS", str(sorted(leakage.UNITS)))}
+    units = str(sorted(leakage.UNITS))
+    return {"p1_found": twins.P1_FOUND, "p1_nearest": twins.P1_NEAREST, "p5_found": twins.P5_FOUND, "p9_found": twins.P9_FOUND, "p9_templates": twins.P9_TEMPLATES.replace("UNITS", units), "p9_links": twins.P9_LINKS.replace("UNITS", units)}

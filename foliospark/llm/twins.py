@@ -41,3 +41,6 @@ l AS (SELECT side, id, list(w ORDER BY pos) AS t, list(code ORDER BY pos) AS c F
 v AS (SELECT side, id, array_to_string(c, ' ') AS form, t[i : i + 9] AS w, c[i : i + 9] AS k FROM (SELECT *, unnest(range(1, len(t) - 8)) AS i FROM l WHERE len(t) >= 10)),
 m AS (SELECT x.id AS doc_id, y.id AS item_id, y.form, x.w AS a, y.w AS b FROM v x JOIN v y ON x.side = 0 AND y.side = 1 AND x.k = y.k WHERE len(list_filter(y.k, lambda z: z[1] <> '<')) >= 4)
 SELECT doc_id, item_id FROM (SELECT doc_id, form, min(item_id) AS item_id FROM m WHERE a <> b AND list_transform(a, lambda z: list_position(a, z)) = list_transform(b, lambda z: list_position(b, z)) GROUP BY doc_id, form)"""
+
+# Every pair behind P9_TEMPLATES.
+P9_LINKS = P9_TEMPLATES.rsplit("\n", 1)[0] + "\nSELECT DISTINCT doc_id, item_id FROM m WHERE a <> b AND list_transform(a, lambda z: list_position(a, z)) = list_transform(b, lambda z: list_position(b, z))"

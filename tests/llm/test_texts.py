@@ -1,10 +1,11 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import languages, leakage, lookalikes, near_duplicates, packing, scans, splitting, subjects
+from foliospark.llm import languages, leakage, lookalikes, near_duplicates, packing, queries, scans, splitting, subjects
 from foliospark.llm.samples import bounded_sample
 
 WORDS = "river stone garden window paper silver mountain bridge yellow winter engine village candle market forest thunder pocket ladder marble copper".split()
@@ -384,6 +385,63 @@ def test_placeholders_alone_are_no_template(spark):
     assert leakage.reparameterised(dd, ii).count() == 0
 
 
+CART = "the cart of {} rolls {} metres down the long wet ramp behind the old mill of {} before noon"
+
+
+def _as_in_sql(spark, docs, items):
+    """Rows of the three queries on these tables, each the same as by its SQL twin."""
+    con = duckdb.connect()
+    for name, cols, rows in (("documents", "doc_id BIGINT, text VARCHAR", docs), ("eval_items", "item_id BIGINT, question VARCHAR", items)):
+        con.execute(f"CREATE TABLE {name} ({cols})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string")
+    out = {}
+    for name, run in (("p9_found", leakage.leaks), ("p9_templates", leakage.reparameterised), ("p9_links", leakage.reparameterised_items)):
+        out[name] = sorted(map(tuple, run(dd, ii).collect()), key=str)
+        assert out[name] == sorted(con.execute(queries.oracle_sql()[name]).fetchall(), key=str), name
+    return out
+
+
+def test_every_item_of_a_template(spark):
+    items = [(i, CART.format("xy" + "abcdef"[i], 10 + i, "zy" + "abcdef"[i])) for i in range(6)] + [(7, CART.format("same", 3, "same"))]
+    docs = [(1, CART.format("ab", 5, "cd")), (2, "so: " + items[4][1]), (3, "the cart of ab rolls home")]
+    out = _as_in_sql(spark, docs, items)
+    assert out["p9_templates"] == [(1, 0), (2, 0)]
+    assert {i for d, i in out["p9_links"] if d == 1} == {0, 1, 2, 3, 4, 5, 7} and {i for d, i in out["p9_links"] if d == 2} >= {0, 1, 2, 3, 5}
+
+
+def test_odd_letters_and_ids_leave_no_item_out(spark):
+    plain = [(900 + i, "zz " + " ".join(CART.replace("{}", "").split()[::-1])) for i in range(3)]  # its words are template words
+    one = lambda doc, item: _as_in_sql(spark, [doc], [item, *plain])
+    text = CART.format("ab", 4, "cd")
+    for doc, item in (
+        (text.upper().replace("I", "\u0130"), CART.format("ix", 5, "y")),  # dotted capital I
+        (CART.format("ab", 4, "\u2460x"), CART.format("ab", 5, "x")),  # a circled digit is no number
+        ("the cart of ab rolls down the old mill before", "the cart of \u2460 rolls down the old mill before"),
+    ):
+        assert one((1, doc), (0, item))["p9_templates"] == [(1, 0)]
+    greek = text.replace("down", "\u03c0\u03c1\u03bf\u03c3").upper()
+    assert one((1, greek.replace("\u03a3 ", "\u03a3'")), (0, greek))["p9_found"] == [(1, 0)]  # a final sigma by its neighbours
+    assert one((None, text), (0, CART.format("x", 5, "y")))["p9_links"] == [(None, 0)]
+    assert one((1, text), (None, text))["p9_found"] == [(1, None)]
+
+
+def test_several_questions_of_one_item(spark):
+    dd = spark.createDataFrame([(1, CART.format("ab", 4, "cd")), (2, "a quite different text " + " ".join("klmnopqrstuv"))], "doc_id long, text string")
+    items = [(5, " ".join("klmnopqrstuv")), (5, CART.format("ab", 4, "cd")), (5, CART.format("ab", 4, "cd")), (6, CART.format("x", 7, "y")), (8, CART.format("u", 7, "v"))]
+    ii = spark.createDataFrame(items, "item_id long, question string")
+    assert sorted(map(tuple, leakage.leaks(dd, ii).collect())) == [(1, 5), (1, 6), (1, 8), (2, 5)]
+    assert sorted(map(tuple, leakage.reparameterised_items(dd, ii).collect())) == [(1, 6), (1, 8)]
+
+
+def test_template_words_of_other_blocks(spark, monkeypatch):
+    items = [(i, CART.format("xy" + "abcdef"[i], 10 + i, "zy" + "abcdef"[i])) for i in range(6)]
+    items += [(10 + i, CART.replace("ramp", "{}").format("ab", 7, "rs" + "abcd"[i], "cd")) for i in range(4)]
+    docs = [(1, CART.replace("ramp", "white").format("ab", 7, "cd")), (2, CART.format("ab", 7, "cd"))]
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 4)  # blocks of which some lack the word ramp
+    _as_in_sql(spark, docs, items)
+
+
 # --- scans ---
 
 
